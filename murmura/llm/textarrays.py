@@ -52,6 +52,9 @@ class TextArrays:
         self.white[[0x20, 9, 10, 11, 12, 13]] = True
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
+        self.kind = np.full(256, 2, np.uint8)
+        self.kind[self.white] = 0
+        self.kind[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
         self._grow(1 << 16)
 
     def _grow(self, n: int) -> None:
@@ -84,6 +87,18 @@ class TextArrays:
         ends = np.flatnonzero(solid & ~after) + 1
         return starts, ends, np.searchsorted(off, starts, "right") - 1
 
+    def tokens(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like ``words``, but runs of letters, digits and longer characters end where symbols begin."""
+        kind = self.kind[data]
+        new = np.ones(len(data), bool)
+        new[1:] = kind[1:] != kind[:-1]
+        new[off[:-1][off[:-1] < len(data)]] = True
+        edge = np.flatnonzero(new)
+        ends = np.append(edge[1:], len(data))[: len(edge)]
+        solid = kind[edge] > 0
+        starts = edge[solid]
+        return starts, ends[solid], np.searchsorted(off, starts, "right") - 1
+
     def batches(self, column: pa.Array, lower: bool = False):
         """``(first row, number of rows, bytes, offsets)`` of each chunk of a column."""
         data, off = text_bytes(column)
