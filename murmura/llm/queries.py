@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import byte_bpe, importance, mixing, quality_rules, resharding, vantage
+from murmura.llm import byte_bpe, importance, langid, licenses, mixing, quality_rules, resharding, vantage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[1]
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +53,8 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_importance": op2_importance,
+    "op3_langid": op3_langid,
+    "op4_licenses": op4_licenses,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op9_vantage": op9_vantage,
@@ -52,6 +62,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_licenses": licenses.scan_sql(),
     "op1_mixing": rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
