@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import byte_bpe, importance, langid, licenses, mixing, ngram_join, quality_rules, resharding, vantage
+from murmura.llm import byte_bpe, importance, langid, licenses, masked_lm, mixing, ngram_join, quality_rules, resharding, vantage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.cluster(table(spark, sf_dir, "documents"))
 
 
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op9_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_join": op7_ngram_join,
+    "op8_masked_lm": op8_masked_lm,
     "op9_vantage": op9_vantage,
     "op10_resharding": op10_resharding,
 }
