@@ -150,11 +150,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     sample = sample.orderBy("_draw", "doc_id", "text", "lang").limit(train_rows).select("text", "lang").collect()
     labels = sorted({r["lang"] for r in sample})
     y = np.array([labels.index(r["lang"]) for r in sample])
-    x = [tfidf(gram_counts(r["text"]), idf) for r in sample]
-    sparse = [(at, v[at]) for v in x for at in [np.flatnonzero(v)]]
+    sparse = []
+    for r in sample:
+        v = tfidf(gram_counts(r["text"]), idf)
+        at = np.flatnonzero(v).astype(np.int32)
+        sparse.append((at, v[at].astype(np.float32)))
     aside = np.arange(len(y)) % 5 == 4
     w, b = follow_the_leader([s for s, out in zip(sparse, aside, strict=True) if not out], y[~aside], len(labels))
-    logits = np.stack([x[i] @ w + b for i in np.flatnonzero(aside)]) if aside.any() else np.zeros((0, len(labels)))
+    logits = np.stack([sparse[i][1] @ w[sparse[i][0]] + b for i in np.flatnonzero(aside)]) if aside.any() else np.zeros((0, len(labels)))
     return Model(labels, idf, w.astype(np.float32).astype(float), b, temperature(logits, y[aside]))
 
 
