@@ -22,6 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +33,20 @@ from murmura.scratch import bounded_broadcast, materialize
 #: Tokens that documents must share within their extended prefixes.
 K = 2
 #: An index entry with more documents belongs to the frequent class.
-RARE = 24
+RARE = 128
+#: An index entry with more documents draws a pivot of its own.
+SMALL = 8
+#: Documents from which on a token is ordered behind the rare ones.
+COMMON = 24
 #: Tokens counted as frequent when ordering, at most; they are broadcast, 16 bytes each.
 ORDERED = 1 << 17
 #: Sets from this size on are indexed by single tokens in any class, smaller ones by combinations.
 LONG = 512
+#: Rounds of links to pivots; they end early once a round adds a smaller share than ``FEW``.
 ROUNDS = 4
+#: Preceding keys that tell whether a pair has come up already.
+BEFORE = 4
+FEW = 0.05
 #: Ids of documents to verify or to drop that are broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 WORDS_COUNTED = 1 << 20
@@ -66,7 +75,7 @@ def row_sets(arrays: TextArrays, column: pa.Array, rule: Rule):
             yield first + i, np.unique(tokens[at[i] : at[i + 1]])
 
 
-def frequent_tokens(docs: DataFrame, rule: Rule, least: int = RARE, limit: int = ORDERED) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(docs: DataFrame, rule: Rule, least: int = COMMON, limit: int = ORDERED) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and document counts of at most ``limit`` frequent tokens.
 
     Counts cover all documents; tokens that stay rare within every run of about
@@ -98,22 +107,39 @@ def frequent_tokens(docs: DataFrame, rule: Rule, least: int = RARE, limit: int =
 
     sums = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least)
     sums = materialize(sums, "join-frequent")
+    return bounded_counts(sums, limit)
+
+
+def bounded_counts(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of fewer than ``limit`` of the most frequent tokens ``(token, n)``."""
     # fewer than ``limit`` tokens can have more than this share of all
-    bar = (sums.agg(F.sum("n")).first()[0] or 0) / limit
-    found = sums.where(F.col("n") > bar).collect()
-    token = np.array([r[0] for r in found], np.int64).view(np.uint64)
+    bar = (counts.agg(F.sum("n")).first()[0] or 0) / limit
+    found = counts.where(F.col("n") > bar).toPandas()
+    token = found["token"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(token)
+    return token[by], found["n"].to_numpy(np.int64)[by]
+
+
+def merged_counts(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both sets of counts; where a token is in both, the first holds."""
+    new = ~np.isin(second[0], first[0])
+    token, n = np.concatenate([first[0], second[0][new]]), np.concatenate([first[1], second[1][new]])
     by = np.argsort(token)
-    return token[by], np.array([r[1] for r in found], np.int64)[by]
+    return token[by], n[by]
 
 
 def signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray], k: int = K) -> DataFrame:
-    """doc_id, set size, set digest (two longs), parity bits (four longs) and extended prefix."""
+    """doc_id, n (set size), set digest (two longs), parity bits and extended prefix.
+
+    ``b0`` to ``b3`` are 256 parity bits of the set, ``bits`` as many as a power
+    of two from 256 and ``n`` on.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         arrays, (heavy, count) = TextArrays(), shared.value
         for b in batches:
-            sizes, digests, parity, prefixes = [], [], [], []
+            sizes, digests, parity, wide, prefixes = [], [], [], [], []
             for _, tokens in row_sets(arrays, b.column(1), rule):
                 n = len(tokens)
                 take = min(n, n - -(-rule.num * n // rule.den) + k)
@@ -124,19 +150,30 @@ def signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarr
                 head = tokens[np.argsort(rank, kind="stable")[:take]] if rank.any() else tokens[:take]
                 sizes.append(n)
                 digests.append((mix(tokens ^ np.uint64(BASE)).sum(dtype=np.uint64), mix(tokens + np.uint64(1)).sum(dtype=np.uint64)))
-                bits = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                room = max(256, 1 << (n - 1).bit_length())
+                bits = np.bincount((tokens & np.uint64(room - 1)).astype(np.int64), minlength=room) & 1
+                wide.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                parity.append(np.bitwise_xor.reduce(wide[-1].reshape(-1, 4)))
                 prefixes.append(head.view(np.int64))
             d = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
             p = np.array(parity, np.int64).reshape(-1, 4)
-            off = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.record_batch(
-                [b.column(0), pa.array(np.array(sizes, np.int64)), *[pa.array(d[:, i].copy()) for i in range(2)], *[pa.array(p[:, i].copy()) for i in range(4)], pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
-                ["doc_id", "n", "d0", "d1", "b0", "b1", "b2", "b3", "prefix"],
+                [b.column(0), pa.array(np.array(sizes, np.int64)), *[pa.array(d[:, i].copy()) for i in range(2)], *[pa.array(p[:, i].copy()) for i in range(4)], lists(wide), lists(prefixes)],
+                ["doc_id", "n", "d0", "d1", "b0", "b1", "b2", "b3", "bits", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d0 long, d1 long, b0 long, b1 long, b2 long, b3 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d0 long, d1 long, b0 long, b1 long, b2 long, b3 long, bits array<long>, prefix array<long>")
+
+
+def lists(rows: list[np.ndarray]) -> pa.Array:
+    """An Arrow list column of long arrays."""
+    off = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
+def far_apart(rule: Rule, total: Column) -> Column:
+    """Tokens in one set only that a similar pair of ``total`` tokens has at most."""
+    return total - 2 * F.ceil(total * rule.num / F.lit(float(rule.num + rule.den)) - F.lit(1e-6))
 
 
 def close(rule: Rule, a: str, b: str) -> Column:
@@ -148,9 +185,19 @@ def close(rule: Rule, a: str, b: str) -> Column:
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
     sizes = (x * rule.den >= y * rule.num) & (y * rule.den >= x * rule.num)
     differ = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(4)), F.lit(0))
-    total = x + y
-    needed = F.ceil(total * rule.num / F.lit(float(rule.num + rule.den)) - F.lit(1e-6))
-    return sizes & (differ <= total - 2 * needed)
+    return sizes & (differ <= far_apart(rule, x + y))
+
+
+def differing_bits(a: str, b: str) -> Column:
+    """Places in which two arrays of parity bits differ, the longer one folded upon itself."""
+
+    def folded(x: Column, y: Column) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+    x, y = F.col(a), F.col(b)
+    each = F.zip_with(folded(x, y), folded(y, x), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(each, F.lit(0), lambda s, v: s + v)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -162,12 +209,9 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         arrays = TextArrays()
         for b in batches:
-            sets = [s.view(np.int64) for _, s in row_sets(arrays, b.column(1), rule)]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["id", "tokens"])
+            yield pa.record_batch([b.column(0), lists([s.view(np.int64) for _, s in row_sets(arrays, b.column(1), rule)])], ["id", "tokens"])
 
-    sets = wanted.mapInArrow(run, "id long, tokens array<long>")
+    sets = materialize(wanted.mapInArrow(run, "id long, tokens array<long>"), "join-sets")
     x, y = sets.toDF("a", "_x"), sets.toDF("b", "_y")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("_x", "_y")).cast("long").alias("shared"), (F.size("_x") + F.size("_y")).cast("long").alias("_total"))
     return both.withColumn("union", F.col("_total") - F.col("shared")).drop("_total").where((F.col("shared") > 0) & (rule.den * F.col("shared") >= rule.num * F.col("union")))
@@ -196,35 +240,86 @@ class Join:
 
     def __init__(self, docs: DataFrame, rule: Rule, rare: int = RARE, long: int = LONG):
         self.docs, self.rule, self.rare, self.long = docs, rule, rare, long
-        self.signed = materialize(signatures(docs, rule, frequent_tokens(docs, rule)), "join-signatures")
-        same = self.signed.where("n > 0 and doc_id is not null").groupBy("d0", "d1", "n")
-        self.classes = materialize(same.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("b0", "b1", "b2", "b3", "prefix")]), "join-classes")
-        self.light = self.classes.select("rep", "n", "b0", "b1", "b2", "b3")
-        entries = self.classes.select("rep", F.explode("prefix").alias("token"))
+        frequent = frequent_tokens(docs, rule)
+        self.signed = materialize(signatures(docs, rule, frequent), "join-signatures")
+        narrow = self.signed.where("n > 0 and doc_id is not null").select("doc_id", "n", "d0", "d1")
+        self.classes = materialize(narrow.groupBy("d0", "d1", "n").agg(F.min("doc_id").alias("rep")), "join-classes")
+        copies = materialize(narrow.join(self.classes, ["d0", "d1", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("_id"), F.col("d0").alias("_d0")), "join-copies")
+        small, _ = bounded_broadcast(copies, BROADCAST_IDS)
+        firsts = self.signed.where("n > 0 and doc_id is not null").join(small, (F.col("doc_id") == F.col("_id")) & (F.col("d0") == F.col("_d0")), "left_anti").withColumnRenamed("doc_id", "rep")
+        if narrow.groupBy("doc_id").count().where("count > 1").limit(1).count():
+            firsts = firsts.dropDuplicates(["rep", "d0", "d1", "n"])
+        self.entries = self.indexed(firsts, "join-entries")
+        late = self.entries.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
+        extra = bounded_counts(materialize(late, "join-late"), ORDERED)
+        if len(extra[0]):
+            firsts = self.reordered(firsts, merged_counts(frequent, extra))
+            self.entries = self.indexed(firsts, "join-entries")
+        self.light = firsts.select("rep", "n", "b0", "b1", "b2", "b3")
+        self.bits = firsts.select("rep", "n", "bits")
+        # few tokens of its own: a class in the middle of its group
+        own = self.entries.groupBy(F.col("rep").alias("_rep")).agg(F.count("*").alias("_shared"))
+        middle = F.max(F.col("_shared") / (F.col("n") * (1 - rule.num / rule.den) + K)).alias("middle")
+        self.middle = own.join(self.light.select("rep", "n"), F.col("_rep") == F.col("rep")).groupBy("_rep").agg(middle)
+        self.entries = materialize(self.entries.join(self.middle, F.col("rep") == F.col("_rep")).drop("_rep"), "join-entries")
+
+    def indexed(self, firsts: DataFrame, name: str) -> DataFrame:
+        """Index entries ``(rep, token)`` of tokens that several classes have in their prefixes."""
+        entries = firsts.select("rep", F.explode("prefix").alias("token"))
         shared = entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
-        self.entries = materialize(entries.join(shared, "token"), "join-entries")
+        return materialize(entries.join(shared, "token"), name)
+
+    def reordered(self, firsts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        """Signatures in the order of ``frequent``.
+
+        Only classes with a newly frequent token in their prefix are signed
+        again: all others have the same prefix in either order.
+        """
+        spark = self.docs.sparkSession
+        token = frequent[0].view(np.int64)
+        late = F.broadcast(spark.createDataFrame(pd.DataFrame({"token": token}), "token long"))  # ORDERED rows at most, twice
+        hit = materialize(self.entries.join(late, "token", "left_semi").select("rep").distinct(), "join-reordered")
+        small, _ = bounded_broadcast(hit.select(F.col("rep").alias("_id")), BROADCAST_IDS)
+        again = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small, F.col("doc_id") == F.col("_id"), "left_semi")
+        signed = signatures(again, self.rule, frequent).where("n > 0").withColumnRenamed("doc_id", "rep")
+        kept = firsts.join(small, F.col("rep") == F.col("_id"), "left_anti")
+        return materialize(kept.unionByName(signed.select(*kept.columns)), "join-signatures")
 
     def pivots(self, label: DataFrame | None, turn: int) -> DataFrame:
-        """One candidate ``(a, b)`` for each class: the pivot it shares most entries with.
+        """One candidate ``(a, b)`` for each class: of its entries' pivots, the one nearest by parity bits.
 
-        An entry's pivot is its class that a hash of the turn puts first.
+        An entry's pivot is its class that shares most of its prefix with others,
+        so it lies in the middle of a group of copies; later turns add noise that
+        is drawn for each frequent entry.
         """
-        order = F.xxhash64("rep", F.lit(turn))
-        first = self.entries.groupBy("token").agg(F.min(F.struct(order.alias("h"), F.col("rep").alias("pivot")))["pivot"].alias("pivot"))
-        votes = self.entries.join(first, "token").where("rep != pivot").groupBy("rep", "pivot").count()
+        seed = F.when(F.col("_n") > SMALL, F.col("token")).otherwise(F.lit(0))
+        noise = F.pmod(F.xxhash64("rep", seed, F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        order = F.struct((noise * (0.001 + 0.15 * turn) - F.col("middle")).alias("h"), F.col("rep").alias("pivot"))
+        counts = self.entries.groupBy("token").agg(F.count("*").alias("_n"))
+        first = self.entries.join(counts, "token").groupBy("token").agg(F.min(order)["pivot"].alias("pivot"))
+        votes = self.entries.join(first, "token").where("rep != pivot").select("rep", "pivot").distinct()
         if label is not None:
             mine = label.select(F.col("v").alias("rep"), F.col("c").alias("_mine"))
             theirs = label.select(F.col("v").alias("pivot"), F.col("c").alias("_theirs"))
             votes = votes.join(mine, "rep", "left").join(theirs, "pivot", "left").where(F.coalesce("_mine", "rep") != F.coalesce("_theirs", "pivot"))
         x, y = self.light.alias("x"), self.light.alias("y")
         near = votes.withColumnRenamed("rep", "_rep").join(x, F.col("_rep") == F.col("x.rep")).join(y, F.col("pivot") == F.col("y.rep")).where(close(self.rule, "x", "y"))
-        return near.groupBy(F.col("x.rep").alias("a")).agg(F.max(F.struct(F.col("count"), F.col("pivot")))["pivot"].alias("b"))
+        near = self.pruned(near.select(F.col("x.rep").alias("a"), F.col("pivot").alias("b")))
+        return near.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+
+    def pruned(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose parity bits differ in no more places than a similar pair's sets may, with that share."""
+        x = self.bits.select(F.col("rep").alias("a"), F.col("n").alias("_n1"), F.col("bits").alias("_bits1"))
+        y = self.bits.select(F.col("rep").alias("b"), F.col("n").alias("_n2"), F.col("bits").alias("_bits2"))
+        total = F.col("_n1") + F.col("_n2")
+        measured = pairs.join(x, "a").join(y, "b").withColumn("_d", differing_bits("_bits1", "_bits2"))
+        return measured.where(F.col("_d") <= far_apart(self.rule, total)).select("a", "b", (F.col("_d") / total).alias("apart"))
 
     def mixed(self, label: DataFrame | None) -> DataFrame:
         """Entries ``(token, rep, comp)`` whose classes belong to several components."""
         if label is None:
-            return self.entries.withColumn("comp", F.col("rep"))
-        named = self.entries.join(label.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
+            return self.entries.select("token", "rep", F.col("rep").alias("comp"))
+        named = self.entries.select("token", "rep").join(label.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
         named = materialize(named, "join-named")
         several = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
         return named.join(several, "token")
@@ -234,32 +329,48 @@ class Join:
         rule = self.rule
         entries = materialize(entries, "join-mixed")
         counts = entries.groupBy("token").agg(F.count("*").alias("_n"))
-        rows = materialize(entries.join(counts, "token").join(self.light, "rep"), "join-rows")
+        body = ["rep", "comp", "n", "b0", "b1", "b2", "b3"]
+        rows = entries.join(counts, "token").withColumn("_rare", F.col("_n") <= self.rare)
+        # a class's tokens stay together: its prefix bounds them
+        lists = rows.groupBy("rep", "comp").agg(*[F.array_sort(F.collect_list(F.when(F.col("_rare") == flag, F.col("token")))).alias(c) for c, flag in (("_few", True), ("_many", False))])
+        lists = materialize(lists.join(self.light, "rep"), "join-rows")
+
+        def keys(tokens: str) -> DataFrame:
+            """Single tokens, each with up to ``BEFORE`` that precede it in its list."""
+            each = F.transform(tokens, lambda t, i: F.struct(t.alias("key"), before(F.col(tokens), i).alias("before")))
+            return lists.select(*body, F.explode(each).alias("_k")).select(*body, "_k.*")
+
+        def before(tokens: Column, i: Column) -> Column:
+            return F.slice(tokens, F.greatest(F.lit(1), i - BEFORE + 1), F.least(i, F.lit(BEFORE)))
 
         def pairs(keyed: DataFrame) -> DataFrame:
+            """A pair comes from its first common key; where an earlier one is in sight, this one is passed over."""
             x, y = keyed.alias("x"), keyed.alias("y")
             on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-            return x.join(y, on & close(rule, "x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+            seen = F.arrays_overlap("x.before", "y.before")
+            return x.join(y, on & close(rule, "x", "y") & ~seen).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-        body = ["rep", "comp", "n", "b0", "b1", "b2", "b3"]
-        rare = rows.where(F.col("_n") <= self.rare).select(F.col("token").alias("key"), *body)
-        heavy = rows.where(F.col("_n") > self.rare)
-        long = heavy.where(F.col("n") >= self.long).select(F.col("token").alias("key"), *body)
+        long = keys("_many").where(F.col("n") >= self.long)
         # similar sets on both sides of ``long`` are both below long * den / num
-        few = heavy.where(F.col("n") * rule.num <= self.long * rule.den).groupBy(*body).agg(F.array_sort(F.collect_list("token")).alias("_t"))
-        combos = F.flatten(F.transform("_t", lambda t, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda u: F.xxhash64(t, u))))
-        combos = materialize(few.select(F.explode(combos).alias("key"), *body), "join-combinations")
+        combined = F.flatten(
+            F.transform("_many", lambda u, j: F.transform(F.slice("_many", 1, j), lambda t: F.struct(F.xxhash64(t, u).alias("key"), F.filter(before(F.col("_many"), j), lambda w: w != t).alias("before"))))
+        )
+        combos = lists.where(F.col("n") * rule.num <= self.long * rule.den).select(*body, F.explode(combined).alias("_k")).select(*body, "_k.*")
+        combos = materialize(combos, "join-combinations")
         live = combos.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key")
-        return pairs(rare).union(pairs(long)).union(pairs(combos.join(live, "key"))).distinct()
+        return self.pruned(pairs(keys("_few")).union(pairs(long)).union(pairs(combos.join(live, "key"))).distinct()).select("a", "b")
 
     def labels(self) -> DataFrame | None:
         """``(v, c)``: component of every linked class; None if there are no links."""
-        label = None
+        label, total = None, 0
         for turn in range(ROUNDS):
             links = materialize(verify(materialize(self.pivots(label, turn), "join-pivots"), self.docs, self.rule).select("a", "b"), "join-links")
-            if not links.limit(1).count():
+            n = links.count()
+            total += n
+            if n:
+                label = self.merged(label, links)
+            if n <= total * FEW:
                 break
-            label = self.merged(label, links)
         rest = self.mixed(label)
         pairs = materialize(self.candidates(rest), "join-candidates")
         if pairs.limit(1).count():
