@@ -65,7 +65,7 @@ class Resampler:
                     bucket, row = grams(arrays, data, off)
                     part = b.slice(first, n)
                     count = np.bincount(row, minlength=n)
-                    weight = np.bincount(row, ratio[bucket], n)
+                    weight = np.bincount(row, ratio[bucket], n).astype(float)
                     yield pa.record_batch([*[part.column(i) for i in range(len(keep))], pa.array(count.astype(np.int64)), pa.array(weight)], [*keep, "_grams", "_weight"])
 
         fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
