@@ -31,6 +31,8 @@ WIDTH = 16
 MASKED = 0.15
 ROUNDS = 2
 BATCH = 512
+#: Words scored at once.
+SCORED = 512
 RATE = 0.15
 SEED = 11
 #: Distinct words that a task counts before it hands its counts on.
@@ -75,30 +77,50 @@ class Network:
         return np.tanh(h)
 
     def log_probs(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """log p(word | both sides), in blocks of bounded size."""
+        """log p(word | both sides), in blocks that fit into a core's cache.
+
+        Hidden values lie within -1 and 1, so logits are bounded by the weights
+        and exponentials are taken as they are; ``scale`` keeps them in range.
+        """
         got = np.empty(len(words), np.float64)
-        for a in range(0, len(words), 8192):
-            z = self.state(around[a : a + 8192]) @ self.out + self.bias
-            top = z.max(1, keepdims=True)
-            at = words[a : a + 8192]
-            got[a : a + 8192] = z[np.arange(len(at)), at] - top[:, 0] - np.log(np.exp(z - top).sum(1))
+        weights = np.vstack([self.out, self.bias])
+        scale = np.float32(max(0.0, float(np.abs(self.out).sum(0).max() + self.bias.max()) - 60.0))
+        weights[-1] -= scale
+        columns = np.ascontiguousarray(weights.T)
+        h = np.ones((SCORED, WIDTH + 1), np.float32)
+        z = np.empty((SCORED, OUTPUTS), np.float32)
+        ones = np.ones(OUTPUTS, np.float32)
+        for a in range(0, len(words), SCORED):
+            at = words[a : a + SCORED]
+            n = len(at)
+            h[:n, :WIDTH] = self.state(around[a : a + n])
+            np.matmul(h[:n], weights, out=z[:n])
+            own = np.einsum("ij,ij->i", h[:n], columns[at])
+            np.exp(z[:n], out=z[:n])
+            got[a : a + n] = own - np.log(z[:n] @ ones)
         return got
 
     def step(self, around: np.ndarray, words: np.ndarray, rate: float) -> None:
         """One gradient step on a batch."""
+        n = len(words)
         h = self.state(around)
-        z = h @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(words)), words] -= 1
-        p *= rate
+        p = h @ self.out
+        p += self.bias
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p *= rate / p.sum(1, keepdims=True)
+        p[np.arange(n), words] -= rate
         back = (p @ self.out.T) * (1 - h * h)
-        self.out -= h.T @ p / np.sqrt(len(words))
-        self.bias -= p.sum(0) / len(words)
+        root = np.float32(1 / np.sqrt(n))
+        self.out -= (h.T @ p) * root
+        self.bias -= p.mean(0)
         self.hidden -= back.mean(0)
+        back *= root
         for j in range(around.shape[1]):
-            np.subtract.at(self.embed[j], around[:, j], back / np.sqrt(len(words)))
+            by = np.argsort(around[:, j], kind="stable")
+            at = around[by, j]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            self.embed[j, at[first]] -= np.add.reduceat(back[by], first, axis=0)
 
 
 def word_ids(arrays: TextArrays, vocabulary: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +253,7 @@ def score(docs: DataFrame, vocabulary: np.ndarray, net: Network) -> DataFrame:
                 ids, row = word_ids(arrays, vocabulary, data, off)
                 got = net.log_probs(contexts(ids, row), ids)
                 count = np.bincount(row, minlength=n)
-                total = np.bincount(row, got, n)
+                total = np.bincount(row, got, n).astype(float)
                 mean = np.divide(total, count, where=count > 0, out=np.zeros(n))
                 yield pa.record_batch([b.column(0).slice(first, n), pa.array(count.astype(np.int64)), pa.array(total), pa.array(mean, mask=count == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_prob"])
 
