@@ -83,20 +83,26 @@ def spellings(norm: Column, rows: list[tuple[str, str, int]]) -> Column:
 
 
 def patterns_table(spark, configs: DataFrame) -> DataFrame:
-    """``(server_id, regex, original_word, ordinal)`` of every configured word; servers bound its size."""
+    """One row per server: ``some``, an alternation of all its patterns, and ``patterns`` in configured order."""
     normalize = normalizer()
     rows = []
-    for r in configs.select("id", "config.banned_words").collect():
-        rows += [(r["id"], *p) for p in P.pattern_rows([w for w in r["banned_words"] or [] if w], normalize)]
-    return spark.createDataFrame(rows, "server_id string, regex string, original_word string, ordinal int")
+    for r in configs.select("id", "config.banned_words").collect():  # one row per configured server
+        found = sorted(P.pattern_rows([w for w in r["banned_words"] or [] if w], normalize), key=lambda p: p[2])
+        if found:
+            rows.append((r["id"], "|".join(p[0] for p in found), [(p[0], p[1]) for p in found]))
+    return spark.createDataFrame(rows, "server_id string, some string, patterns array<struct<regex: string, word: string>>")
 
 
 def detect_by_server(messages: DataFrame, patterns: DataFrame, norm: str = "norm") -> DataFrame:
-    """Messages of each server with the first of its patterns that they hold (inner join)."""
-    hits = messages.join(F.broadcast(patterns), "server_id").where(F.expr(f"{norm} rlike regex"))
-    first = F.min(F.struct("ordinal", "original_word"))["original_word"]
-    keys = [c for c in messages.columns if c not in ("attachments",)]
-    return hits.groupBy(*keys).agg(first.alias("original_word"))
+    """Messages that hold one of their server's patterns, with the first one's ``original_word``.
+
+    The configurations are broadcast and messages stay where they are; only texts
+    that the alternation finds try the patterns one by one.
+    """
+    t = F.col(norm)
+    hit = messages.join(F.broadcast(patterns), "server_id").where(F.expr(f"{norm} rlike some"))
+    first = F.filter("patterns", lambda p: F.rlike(t, p["regex"]))[0]["word"]
+    return hit.withColumn("original_word", first).drop("some", "patterns")
 
 
 def three_phases(norm: Column, context_norm: Column, packed_norm: Column, longer: Column, deletes: Column, rows) -> tuple[Column, Column]:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.scores import heat_bar
+from murmura.operators.ranks import numbered
 
 
 def ranked(stats: DataFrame, name: str, heat: str) -> DataFrame:
     """``rank``, name, heat and bar by rising heat, ties by name; one row for each channel or member."""
-    w = Window.orderBy(heat, name)
-    return stats.select(F.row_number().over(w).alias("rank"), F.col(name).alias("name"), F.col(heat).alias("heat"), heat_bar(F.col(heat)).alias("bar"))
+    rows = numbered(stats.select(F.col(name).alias("name"), F.col(heat).alias("heat")), [F.col("heat"), F.col("name")], "rank")
+    return rows.select((F.col("rank") + 1).cast("int").alias("rank"), "name", "heat", heat_bar(F.col("heat")).alias("bar"))
 
 
 def side_by_side(channels: DataFrame, users: DataFrame) -> DataFrame:

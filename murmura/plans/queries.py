@@ -480,15 +480,15 @@ def timeout_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS = """
-SELECT user_id::VARCHAR AS src_id, lead(user_id::VARCHAR) OVER (ORDER BY ts, event_id) AS dst_id, ts,
+SELECT user_id::VARCHAR AS src_id, lead(user_id::VARCHAR) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst_id, ts,
   CASE event_type WHEN 'purchase' THEN 0.12 WHEN 'click' THEN 0.03 WHEN 'error' THEN -0.05 ELSE 0.01 END::DOUBLE AS affection FROM events"""
 
 
 def affection_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user reacts to the author of the next event; the type picks the emoji."""
+    """A user reacts to the author of the channel's next event; the type picks the emoji."""
     e = events(spark, sf_dir)
     emoji = F.when(F.col("channel_id") == "purchase", "💗").when(F.col("channel_id") == "click", "👍").when(F.col("channel_id") == "error", "👎").otherwise("🎉")
-    nxt = F.lead(F.col("member_id").cast("string")).over(Window.orderBy("ts", "message_id"))
+    nxt = F.lead(F.col("member_id").cast("string")).over(Window.partitionBy("channel_id").orderBy("ts", "message_id"))
     rows = e.select("server_id", F.col("member_id").cast("string").alias("src_id"), nxt.alias("dst_id"), "ts", scores.reaction_affection(emoji).alias("affection"))
     return rows.where("dst_id is not null and dst_id != src_id")
 
