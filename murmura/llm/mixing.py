@@ -7,9 +7,10 @@ with the probability of the rate's fraction, drawn from a hash of its id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.operators.ranks import numbered
 from murmura.scratch import bounded_broadcast, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,21 +36,6 @@ def shift(k: int) -> int:
     return k * 173_961_102_589_771 % (1 << BITS)
 
 
-def ranked_sources(totals: DataFrame) -> DataFrame:
-    """Adds ``rank`` from 0 by code point, null last, without a single-task sort."""
-    parts = materialize(
-        totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "mix-sources"
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    start = parts.groupBy("_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())
-    return (
-        parts.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(F.broadcast(start), "_part")
-        .select("source", "source_size", (F.col("_row") + F.col("_start")).alias("rank"))
-    )
-
-
 def with_targets(sources: DataFrame, weight: Column, cap: int) -> DataFrame:
     """Adds ``target``: all sizes shared by weight, none above cap times its source's size.
 
@@ -73,7 +59,7 @@ def with_targets(sources: DataFrame, weight: Column, cap: int) -> DataFrame:
 def source_rates(docs: DataFrame, weights, cap: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The documents' sizes, and each source's size, target, rate and draw."""
     sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("_u")), "mix-sizes")
-    ranked = ranked_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    ranked = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], "rank")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rates = with_targets(ranked, weight, cap).withColumn("rate", rate).withColumn("_bar", (F.col("rate") - F.floor("rate")) * F.lit(float(1 << BITS)))
