@@ -46,3 +46,6 @@ SEPARATORS = r"[\-._:;/\\~`]"
 
 #: Letters and digits, the word characters of the boundary rule.
 ALNUM = r"[\p{L}\p{Nd}]"
+
+# Addresses of image attachments.
+IMAGE_URL = r"\Ahttps://(cdn|media)\.discordapp\.(com|net)/attachments/.*\.(jpg|jpeg|png|gif|bmp|webp|tiff)(\?.*)?\z"

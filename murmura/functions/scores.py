@@ -60,7 +60,7 @@ def strip_urls(text: Column) -> Column:
 
 
 def is_image_url(url: Column) -> Column:
-    return url.rlike(r"\Ahttps?://.*\.(png|jpg|jpeg|gif|webp).*\z")
+    return url.rlike(C.IMAGE_URL)
 
 
 def png_url(url: Column) -> Column:

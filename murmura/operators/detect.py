@@ -93,16 +93,24 @@ def patterns_table(spark, configs: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "server_id string, some string, patterns array<struct<regex: string, word: string>>")
 
 
+def server_match(norm: str) -> Column:
+    """``(spelling, word)`` of the first of a row's ``patterns`` that the text holds, or null.
+
+    Only texts that the alternation ``some`` finds try the patterns one by one.
+    """
+    t = F.col(norm)
+    first = F.filter("patterns", lambda p: F.rlike(t, p["regex"]))[0]
+    found = F.struct(F.regexp_substr(t, first["regex"]).alias("spelling"), first["word"].alias("word"))
+    return F.when(F.expr(f"{norm} rlike some"), found)
+
+
 def detect_by_server(messages: DataFrame, patterns: DataFrame, norm: str = "norm") -> DataFrame:
     """Messages that hold one of their server's patterns, with the first one's ``original_word``.
 
-    The configurations are broadcast and messages stay where they are; only texts
-    that the alternation finds try the patterns one by one.
+    The configurations are broadcast and messages stay where they are.
     """
-    t = F.col(norm)
-    hit = messages.join(F.broadcast(patterns), "server_id").where(F.expr(f"{norm} rlike some"))
-    first = F.filter("patterns", lambda p: F.rlike(t, p["regex"]))[0]["word"]
-    return hit.withColumn("original_word", first).drop("some", "patterns")
+    found = messages.join(F.broadcast(patterns), "server_id").withColumn("_found", server_match(norm)).where("_found is not null")
+    return found.withColumn("original_word", F.col("_found.word")).drop("some", "patterns", "_found")
 
 
 def three_phases(norm: Column, context_norm: Column, packed_norm: Column, longer: Column, deletes: Column, rows) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.scores import alert_color, format_duration, shorten, timeout_seconds
@@ -19,18 +19,18 @@ def scored_messages(messages: DataFrame, text: str = "content") -> DataFrame:
     return out.where((F.col(text) != "") & ((F.col("analysed") != "") | (F.size("image_urls") > 0)))
 
 
-def isolated(text: str, word: str):
-    """Whether the raw text holds the row's word between word boundaries, in any ASCII case."""
+def isolated(text: str, word: str) -> Column:
+    """Whether the raw text holds the row's spelling between word boundaries, in any ASCII case."""
     return F.expr(rf"{text} rlike concat('(?i)\\b\\Q', {word}, '\\E\\b')")
 
 
 def violations(hits: DataFrame) -> DataFrame:
     """Adds seconds, timed_out, reason, deleted and punished to detections.
 
-    ``hits``: word, shown (the text that is reported), level_before and the
-    server's settings.  The level before the offence sets the length, so a first
-    offence is never timed out; only words that stand alone in the raw text are
-    punished.
+    ``hits``: word, spelling (as found in the normalised text), shown (the text
+    that is reported), level_before and the server's settings.  The level before the offence sets the length, so a first
+    offence is never timed out; only spellings that stand alone in the
+    reported text are punished.
     """
     seconds = timeout_seconds(F.col("level_before"), F.col("timeout_mode"), F.col("timeout_base_seconds"))
     return (
@@ -38,7 +38,7 @@ def violations(hits: DataFrame) -> DataFrame:
         .withColumn("timed_out", F.col("timeout_for_filtered_messages") & (F.col("seconds") > 0))
         .withColumn("reason", F.concat(F.lit("Used or attempted to use banned word: "), F.col("word")))
         .withColumn("deleted", F.col("delete_filtered_messages"))
-        .withColumn("punished", isolated("shown", "word"))
+        .withColumn("punished", isolated("shown", "spelling"))
     )
 
 
@@ -61,7 +61,12 @@ def actions(judged: DataFrame) -> DataFrame:
 
 
 def alerts(folded: DataFrame) -> DataFrame:
-    """Alert rows of folded channel heat, with the colour of their average."""
+    """Alert rows of folded channel heat, with the colour of their average.
+
+    With a column ``alert_channel_id``, servers without one get none.
+    """
+    if "alert_channel_id" in folded.columns:
+        folded = folded.where("alert_channel_id is not null")
     return folded.where("alert").withColumn("color", alert_color(F.col("average")))
 
 

@@ -185,6 +185,11 @@ def banned_sql(norm: str) -> str:
     return f"(CASE {whens} END)"
 
 
+def spelling_sql(norm: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches({norm}, '(^|[^{BOUNDARY}]){patterns.word_regex(w)}([^{BOUNDARY}]|$)') THEN regexp_extract({norm}, '(^|[^{BOUNDARY}])({patterns.word_regex(w)})([^{BOUNDARY}]|$)', 2)" for w in BANNED)
+    return f"(CASE {whens} END)"
+
+
 @query(f"SELECT doc_id, word FROM (SELECT doc_id, {banned_sql(Q.normalized('text'))} AS word FROM documents) WHERE word IS NOT NULL")
 def banned_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -566,15 +571,16 @@ def count_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH h AS (SELECT doc_id, source, text, {banned_sql(Q.normalized('text'))} AS word FROM documents),
+WITH h AS (SELECT doc_id, source, text, {banned_sql(Q.normalized('text'))} AS word, {spelling_sql(Q.normalized('text'))} AS spelling FROM documents),
 j AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS level,
-  ({" OR ".join(f"(word = '{w}' AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9_]){w}([^A-Za-z0-9_]|$)'))" for w in BANNED)}) AS punished FROM h WHERE word IS NOT NULL)
+  ({" OR ".join(f"(word = '{w}' AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])' || spelling || '([^A-Za-z0-9_]|$)'))" for w in BANNED)}) AS punished FROM h WHERE word IS NOT NULL)
 SELECT doc_id AS message_id, source AS author_id, 'timeout' AS action, least(pow(60::DOUBLE, level), 86400)::BIGINT AS seconds FROM j WHERE level > 0
 UNION ALL SELECT doc_id, source, 'delete', 0 FROM j UNION ALL SELECT doc_id, source, 'punish', 0 FROM j WHERE punished""")
 def moderation_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions on documents with a banned word; the source is the author, earlier hits set the level."""
     docs = table(spark, sf_dir, "documents").select(F.lit("s").alias("server_id"), F.col("doc_id").alias("message_id"), F.col("source").alias("author_id"), F.col("text").alias("shown"))
-    hits = docs.withColumn("word", detect.first_match(normalize_ascii(F.col("shown")), banned_rows())).where("word is not null")
+    norm = normalize_ascii(F.col("shown"))
+    hits = docs.withColumn("word", detect.first_match(norm, banned_rows())).withColumn("spelling", detect.spellings(norm, banned_rows())[0]).where("word is not null")
     level = F.row_number().over(Window.partitionBy("author_id").orderBy("message_id")) - 1
     hits = hits.withColumns({"level_before": level, "timeout_mode": F.lit("exponential"), "timeout_base_seconds": F.lit(60), "timeout_for_filtered_messages": F.lit(True), "delete_filtered_messages": F.lit(True), "warning_channel_id": F.lit("w")})
     return moderation.actions(moderation.violations(hits)).select("message_id", "author_id", "action", "seconds")

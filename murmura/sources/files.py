@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura import schemas as S
-from murmura.functions.scores import archive_line
+from murmura.functions.scores import archive_line, is_image_url
 from murmura.operators.stats import backfilled_count
 
 
@@ -86,6 +86,11 @@ def readable_stats(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop("relations").join(told, ["serverId", "memberId"], "left")
 
 
+def write_readable(stats: DataFrame, path: str) -> None:
+    """Enriched statistics as JSON, one member per line."""
+    stats.write.mode("overwrite").json(path)
+
+
 def default_configs(servers: DataFrame, configs: DataFrame, banned_words: list[str]) -> DataFrame:
     """Configurations for ``servers(id, name)`` that have none."""
     words = F.array(*[F.lit(w) for w in banned_words]).cast("array<string>")
@@ -117,7 +122,7 @@ def write_cleaned(scored: DataFrame, path: str) -> None:
 def image_urls(messages: DataFrame) -> DataFrame:
     """Adds ``image_urls``: the distinct addresses of image attachments."""
     url = F.transform(F.filter("attachments", lambda a: a["is_image"]), lambda a: a["url"])
-    fits = F.filter(url, lambda u: u.rlike(r"\Ahttps?://.*\.(png|jpg|jpeg|gif|webp).*\z"))
+    fits = F.filter(url, is_image_url)
     return messages.withColumn("image_urls", F.coalesce(F.array_distinct(fits), F.array().cast("array<string>")))
 
 
