@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where spark.checkpoint.dir is unset and Spark runs in one process.
 LOCAL_DIR = "/tmp/checkpoints/murmura"
+BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself, in a session whose Arrow batches hold few megabytes.
+
+    Texts can be very long, and both sides of the Python boundary hold whole
+    batches for every task; the default of 64 MB is more than small executors
+    have to spare.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def bounded_broadcast(df: DataFrame, limit_rows: int):
     """``(df, True)`` with a broadcast hint if it has at most ``limit_rows`` rows.
 

@@ -102,8 +102,8 @@ def test_thinning(spark):
 
 
 def test_first_offence_is_never_timed_out(spark):
-    rows = [(i, "s", "u", "a grabbit", "grabbit", i, "flat", 60, True, True, "w") for i in range(2)]
-    names = "message_id bigint, server_id string, author_id string, shown string, word string, level_before int, timeout_mode string, timeout_base_seconds int, timeout_for_filtered_messages boolean, delete_filtered_messages boolean, warning_channel_id string"
+    rows = [(i, "s", "u", "a grabbit", "grabbit", "grabbit", i, "flat", 60, True, True, "w") for i in range(2)]
+    names = "message_id bigint, server_id string, author_id string, shown string, word string, spelling string, level_before int, timeout_mode string, timeout_base_seconds int, timeout_for_filtered_messages boolean, delete_filtered_messages boolean, warning_channel_id string"
     judged = moderation.violations(spark.createDataFrame(rows, names))
     got = sorted(tuple(r) for r in moderation.actions(judged).select("message_id", "action", "seconds").collect())
     assert got == [(0, "delete", 0), (0, "punish", 0), (1, "delete", 0), (1, "punish", 0), (1, "timeout", 60)]
