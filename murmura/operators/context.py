@@ -38,8 +38,12 @@ def with_context(messages: DataFrame) -> DataFrame:
     The context joins the author's own messages among the newest ``depth`` with
     the current one; only short messages are gated in.
     """
-    plain = strip_markdown(F.col("content"))
-    rows = with_history(messages.withColumn("plain", plain))
+    return contextual(with_history(messages))
+
+
+def contextual(rows: DataFrame) -> DataFrame:
+    """``with_context`` for rows that carry their ``history``, from a table or a stream."""
+    rows = rows.withColumn("plain", strip_markdown(F.col("content")))
     depth = context_depth(u16_len(F.col("plain")))
     own = F.filter(last(F.col("history"), depth), lambda h: h["author_id"] == F.col("author_id"))
     parts = F.filter(F.transform(own, lambda h: strip_markdown(h["content"])), lambda t: t != "")

@@ -121,3 +121,17 @@ def live_only(stats: DataFrame, live: DataFrame, key: str) -> DataFrame:
 def missing(servers: DataFrame, configs: DataFrame, key: str) -> DataFrame:
     """Servers without a configuration."""
     return servers.join(configs.select(key).distinct(), key, "left_anti")
+
+
+def channel_activity(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """Messages per minute, busiest hour of the day and share of distinct authors per channel.
+
+    An extension: such fields exist in the statistics and nothing fills them.
+    The rate runs from the first to the last message, a minute at least; of
+    equally busy hours the earliest counts.
+    """
+    hours = messages.groupBy(*keys, F.hour("ts").alias("_hour")).agg(F.count("*").alias("_n"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    minutes = F.greatest(F.lit(1.0), (F.unix_micros(F.max("_last").cast("timestamp")) - F.unix_micros(F.min("_first").cast("timestamp"))) / 60e6)
+    rates = hours.groupBy(*keys).agg((F.sum("_n") / minutes).alias("messages_per_minute"), F.max(F.struct("_n", -F.col("_hour")))["_n"].alias("peak_messages"), (-F.max(F.struct("_n", (-F.col("_hour")).alias("h")))["h"]).alias("peak_hour"))
+    authors = messages.groupBy(*keys).agg((F.count_distinct("author_id") / F.count("*")).alias("diversity"))
+    return rates.join(authors, keys)

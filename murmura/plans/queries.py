@@ -558,6 +558,16 @@ def missing_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.missing(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k").select(F.col("k").alias("c_custkey"))
 
 
+@query(f"""
+WITH h AS (SELECT event_type, hour(ts)::INT AS h, count(*) AS n, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1, 2)
+SELECT h.event_type AS channel_id, {r6('sum(n) / greatest(1, (epoch_us(max(b)) - epoch_us(min(a))) / 60e6)')} AS messages_per_minute, max(n) AS peak_messages,
+  arg_max(h, n * 100 - h) AS peak_hour, {r6('any_value(d)')} AS diversity
+FROM h JOIN (SELECT event_type, count(DISTINCT user_id) / count(*)::DOUBLE AS d FROM events GROUP BY 1) USING (event_type) GROUP BY 1""")
+def channel_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumnRenamed("member_id", "author_id")
+    return rounded(stats.channel_activity(e, ["channel_id"]), "messages_per_minute", "diversity")
+
+
 BACKFILL = [(5, 1, 1, 1, 0.5), (0, 1, 2, 3, 0.5), (0, 0, 0, 0, 0.2), (0, 0, 0, 0, 0.0)]
 
 

@@ -174,3 +174,19 @@ def test_archive_files(spark, tmp_path):
     files.write_archive(m, str(tmp_path / "a"))
     back = archive.replayed(files.archive_lines(spark, str(tmp_path / "a"))).orderBy("line_no").collect()
     assert [r.message for r in back] == ["one", "two"]
+
+
+def test_history_on_a_stream_equals_the_window(spark, tmp_path):
+    from murmura.streaming.history import with_history_stream
+
+    rows = [("message", "s", f"c{i % 2}", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), f"u{i % 3}", False, False, "TEXT", f"m{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "event_kind string, server_id string, channel_id string, message_id bigint, ts timestamp, author_id string, is_bot boolean, is_webhook boolean, channel_type string, content string")
+    want = {r.message_id: r.context for r in context.with_context(df).collect()}
+    for i in range(2):
+        df.where(f"message_id >= {20 * i} and message_id < {20 * i + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = context.contextual(with_history_stream(stream)).select("message_id", "context")
+    q = live.writeStream.format("memory").queryName("history_stream").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.message_id: r.context for r in spark.table("history_stream").collect()} == want
