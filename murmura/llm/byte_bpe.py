@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from murmura.scratch import small_batches
+
 #: Distinct pre-tokens that a task remembers, and the longest that it remembers.
 MEMO, MEMO_CHARS = 200_000, 48
 # Code points that the regex module takes for letters or numbers
@@ -171,7 +173,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 ids = [codec.encode(t or "")[0] for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -184,7 +186,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
             raw = [codec.decode(np.asarray(i if i is not None else [], np.int32)) for i in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(raw, pa.binary())], ["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, decoded binary")
+    return encoded.select("doc_id", "ids").transform(small_batches).mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -207,7 +209,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _slices(batch, rows: int = 256):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.llm.textarrays import BASE, TextArrays, mix
-from murmura.scratch import materialize
+from murmura.scratch import materialize, small_batches
 
 #: Hash buckets of each n-gram order.
 BUCKETS = 1 << 12
@@ -69,7 +69,7 @@ class Resampler:
                     yield pa.record_batch([*[part.column(i) for i in range(len(keep))], pa.array(count.astype(np.int64)), pa.array(weight)], [*keep, "_grams", "_weight"])
 
         fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-        return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, f"{fields}, _grams long, _weight double")
+        return docs.select(*[F.col(f"`{c}`") for c in keep], "text").transform(small_batches).mapInArrow(run, f"{fields}, _grams long, _weight double")
 
     def keyed(self, weights: DataFrame) -> DataFrame:
         """Adds the Gumbel key: evidence over the threshold plus seeded noise; no n-grams, no key."""
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> t
         some = np.flatnonzero(total[0])
         yield pa.record_batch([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "raw", "target"])
 
-    sums = flagged.select("text", "_target").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
+    sums = flagged.select("text", "_target").transform(small_batches).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, wanted = np.zeros(BUCKETS * ORDERS), np.zeros(BUCKETS * ORDERS)
     for bucket, a, b in sums.collect():  # one row for each bucket
         raw[bucket], wanted[bucket] = a, b

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.scratch import small_batches
+
 BUCKETS = 1 << 14
 #: Rows of the training sample in all, and the longest text in it, in characters.
 TRAIN_ROWS = 4000
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         yield pa.record_batch([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
     seen = np.zeros(BUCKETS + 1)
-    for bucket, n in rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    for bucket, n in rows.select("text").transform(small_batches).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
         seen[bucket] = n  # one row for each bucket
     idf = np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1
 
@@ -180,7 +182,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 yield pa.record_batch([*[part.column(i) for i in range(len(keep))], pa.array(said, pa.string()), pa.array(score)], [*keep, "_lang_pred", "_score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(run, f"{fields}, _lang_pred string, _score double")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).transform(small_batches).mapInArrow(run, f"{fields}, _lang_pred string, _score double")
 
 
 def predict(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

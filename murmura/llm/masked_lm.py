@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm.textarrays import TextArrays, mix
-from murmura.scratch import materialize
+from murmura.scratch import materialize, small_batches
 
 #: Words with an output of their own; the others share ``OTHERS`` hashed outputs.
 FREQUENT = 384
@@ -167,7 +167,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield settle()
 
-    return materialize(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    return materialize(docs.select("text").transform(small_batches).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
 
 
 def averaged(parts: DataFrame) -> np.ndarray | None:
@@ -207,7 +207,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, Network]:
     for turn in range(rounds):
         net_now = net.flat()
         shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net_now))
-        mean = averaged(docs.select("text").mapInArrow(_trainer(shared, turn), "part long, words long, sums binary"))
+        mean = averaged(docs.select("text").transform(small_batches).mapInArrow(_trainer(shared, turn), "part long, words long, sums binary"))
         if mean is not None:
             net = Network.of(mean)
     return vocabulary, net
@@ -258,7 +258,7 @@ def score(docs: DataFrame, vocabulary: np.ndarray, net: Network) -> DataFrame:
                 yield pa.record_batch([b.column(0).slice(first, n), pa.array(count.astype(np.int64)), pa.array(total), pa.array(mean, mask=count == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_prob"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_prob double")
+    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_prob double")
 
 
 def train_and_score(docs: DataFrame) -> DataFrame:

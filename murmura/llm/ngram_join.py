@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm.textarrays import BASE, TextArrays, mix, shingle_hashes
-from murmura.scratch import bounded_broadcast, materialize
+from murmura.scratch import bounded_broadcast, materialize, small_batches
 
 #: Tokens that documents must share within their extended prefixes.
 K = 2
@@ -105,7 +105,7 @@ def frequent_tokens(docs: DataFrame, rule: Rule, least: int = COMMON, limit: int
             n = np.bincount(inverse, np.concatenate([k[1] for k in kept]), len(token)).astype(np.int64)
             yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    sums = docs.select("text").transform(small_batches).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least)
     sums = materialize(sums, "join-frequent")
     return bounded_counts(sums, limit)
 
@@ -162,7 +162,7 @@ def signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarr
                 ["doc_id", "n", "d0", "d1", "b0", "b1", "b2", "b3", "bits", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, d0 long, d1 long, b0 long, b1 long, b2 long, b3 long, bits array<long>, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(small_batches).mapInArrow(run, "doc_id long, n long, d0 long, d1 long, b0 long, b1 long, b2 long, b3 long, bits array<long>, prefix array<long>")
 
 
 def lists(rows: list[np.ndarray]) -> pa.Array:
@@ -211,7 +211,7 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), lists([s.view(np.int64) for _, s in row_sets(arrays, b.column(1), rule)])], ["id", "tokens"])
 
-    sets = materialize(wanted.mapInArrow(run, "id long, tokens array<long>"), "join-sets")
+    sets = materialize(wanted.transform(small_batches).mapInArrow(run, "id long, tokens array<long>"), "join-sets")
     x, y = sets.toDF("a", "_x"), sets.toDF("b", "_y")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("_x", "_y")).cast("long").alias("shared"), (F.size("_x") + F.size("_y")).cast("long").alias("_total"))
     return both.withColumn("union", F.col("_total") - F.col("shared")).drop("_total").where((F.col("shared") > 0) & (rule.den * F.col("shared") >= rule.num * F.col("union")))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm.textarrays import BASE, TextArrays, mix
-from murmura.scratch import materialize
+from murmura.scratch import materialize, small_batches
 
 #: The labelled rows that trees are grown on, at most; chosen by a hash of their ids.
 TRAIN_ROWS = 20_000
@@ -99,7 +99,7 @@ def statistics(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
                 yield pa.record_batch([*[part.column(i) for i in range(len(names))], *[pa.array(counts[c].astype(np.int64)) for c in COUNTS]], [*names, *COUNTS])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, "text").mapInArrow(run, f"{fields}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(*names, "text").transform(small_batches).mapInArrow(run, f"{fields}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features(pdf: pd.DataFrame) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed together; a longer document stands alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmura.scratch import materialize
+from murmura.scratch import materialize, small_batches
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
@@ -187,7 +187,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, factor: float, query_ro
                 keep = np.isfinite(best)
                 yield pa.record_batch([pa.array(np.repeat(ids, k)[keep.ravel()]), pa.array(found[keep]), pa.array(best[keep])], ["query_id", "vec_id", "near"])
 
-    got = pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "query_id long, vec_id long, near double")
+    got = pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism)).transform(small_batches).mapInArrow(run, "query_id long, vec_id long, near double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
     return got.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
