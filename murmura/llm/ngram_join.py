@@ -261,12 +261,14 @@ class Join:
         own = self.entries.groupBy(F.col("rep").alias("_rep")).agg(F.count("*").alias("_shared"))
         middle = F.max(F.col("_shared") / (F.col("n") * (1 - rule.num / rule.den) + K)).alias("middle")
         self.middle = own.join(self.light.select("rep", "n"), F.col("_rep") == F.col("rep")).groupBy("_rep").agg(middle)
-        self.entries = materialize(self.entries.join(self.middle, F.col("rep") == F.col("_rep")).drop("_rep"), "join-entries")
+        counts = materialize(self.entries.groupBy("token").agg(F.count("*").alias("_n")), "join-counts")
+        self.entries = materialize(self.entries.join(counts, "token").join(self.middle, F.col("rep") == F.col("_rep")).drop("_rep"), "join-entries")
 
     def indexed(self, firsts: DataFrame, name: str) -> DataFrame:
         """Index entries ``(rep, token)`` of tokens that several classes have in their prefixes."""
         entries = firsts.select("rep", F.explode("prefix").alias("token"))
-        shared = entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
+        # written, so that both sides of the join are dealt anew and hot tokens can be split
+        shared = materialize(entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token"), "join-shared")
         return materialize(entries.join(shared, "token"), name)
 
     def reordered(self, firsts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -295,8 +297,7 @@ class Join:
         seed = F.when(F.col("_n") > SMALL, F.col("token")).otherwise(F.lit(0))
         noise = F.pmod(F.xxhash64("rep", seed, F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         order = F.struct((noise * (0.001 + 0.15 * turn) - F.col("middle")).alias("h"), F.col("rep").alias("pivot"))
-        counts = self.entries.groupBy("token").agg(F.count("*").alias("_n"))
-        first = self.entries.join(counts, "token").groupBy("token").agg(F.min(order)["pivot"].alias("pivot"))
+        first = materialize(self.entries.groupBy("token").agg(F.min(order)["pivot"].alias("pivot")), "join-first")
         votes = self.entries.join(first, "token").where("rep != pivot").select("rep", "pivot").distinct()
         if label is not None:
             mine = label.select(F.col("v").alias("rep"), F.col("c").alias("_mine"))
@@ -322,13 +323,13 @@ class Join:
         named = self.entries.select("token", "rep").join(label.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
         named = materialize(named, "join-named")
         several = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
-        return named.join(several, "token")
+        return named.join(materialize(several, "join-several"), "token")
 
     def candidates(self, entries: DataFrame) -> DataFrame:
         """All pairs ``(a, b)`` of classes of different components that may be similar."""
         rule = self.rule
         entries = materialize(entries, "join-mixed")
-        counts = entries.groupBy("token").agg(F.count("*").alias("_n"))
+        counts = materialize(entries.groupBy("token").agg(F.count("*").alias("_n")), "join-counts")
         body = ["rep", "comp", "n", "b0", "b1", "b2", "b3"]
         rows = entries.join(counts, "token").withColumn("_rare", F.col("_n") <= self.rare)
         # a class's tokens stay together: its prefix bounds them
@@ -358,6 +359,7 @@ class Join:
         combos = lists.where(F.col("n") * rule.num <= self.long * rule.den).select(*body, F.explode(combined).alias("_k")).select(*body, "_k.*")
         combos = materialize(combos, "join-combinations")
         live = combos.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key")
+        live = materialize(live, "join-live")
         return self.pruned(pairs(keys("_few")).union(pairs(long)).union(pairs(combos.join(live, "key"))).distinct()).select("a", "b")
 
     def labels(self) -> DataFrame | None:
