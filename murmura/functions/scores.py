@@ -19,12 +19,13 @@ def u16_len(text: Column) -> Column:
 
 def count_char(text: Column, chars: str) -> Column:
     """Occurrences of any of some ASCII characters."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return sum((count_text(text, c) for c in chars), F.lit(0))
 
 
 def count_text(text: Column, part: str) -> Column:
-    """Non-overlapping occurrences of a non-empty substring."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+    """Non-overlapping occurrences of a non-empty ASCII substring, by the bytes that its removal saves."""
+    saved = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))
+    return saved if len(part) == 1 else (saved / len(part)).cast("int")
 
 
 def strip_markdown(text: Column) -> Column:
@@ -68,17 +69,25 @@ def png_url(url: Column) -> Column:
     return F.regexp_replace(url, "format=[^&]*", "format=png")
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """``body`` of a struct of values, each of which is computed once per row."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def caps_score(text: Column) -> Column:
     upper = F.length(F.regexp_replace(text, r"[^\p{IsUppercase}&&[\x{0}-\x{FFFF}]]+", ""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}&&[\x{0}-\x{FFFF}]]+", ""))
-    ratio = F.when(letters > 0, upper / letters).otherwise(lit(0.0))
-    n = u16_len(text)
-    return (
-        F.when((n > 35) & (ratio > 0.06) & (ratio < 0.4), 0.1)
-        .when((n > 10) & (ratio > 0.2) & (ratio < 0.4), 0.05)
-        .when((ratio > 0.7) | (ratio <= 0.0), -0.1)
-        .otherwise(0.0)
-    )
+
+    def score(v: Column) -> Column:
+        r, n = F.when(v["letters"] > 0, v["upper"] / v["letters"]).otherwise(lit(0.0)), v["n"]
+        return (
+            F.when((n > 35) & (r > 0.06) & (r < 0.4), 0.1)
+            .when((n > 10) & (r > 0.2) & (r < 0.4), 0.05)
+            .when((r > 0.7) | (r <= 0.0), -0.1)
+            .otherwise(0.0)
+        )
+
+    return let({"upper": upper, "letters": letters, "n": u16_len(text)}, score)
 
 
 def length_score(text: Column) -> Column:
@@ -87,23 +96,25 @@ def length_score(text: Column) -> Column:
 
 
 def punctuation_score(text: Column) -> Column:
-    periods, ends = count_char(text, "."), count_char(text, ".?!")
-    # trailing empty pieces don't count as sentences
-    several = F.size(F.split(F.regexp_replace(text, r"[.?!]+\z", ""), "[.?!]")) > 1
-    many_periods = F.when(several & (ends > 1) & (periods > 0) & (periods / ends > 0.75), 0.15).otherwise(0.0)
-    commas = F.least(lit(0.1), count_char(text, ",") * 0.01)
-    quotes = count_char(text, "'")
-    apostrophes = F.when(quotes >= 3, F.least(lit(0.2), quotes * 0.05)).otherwise(0.0)
+    # several sentences: something follows a terminator
+    several = text.rlike(r"[.?!][^.?!]")
     # a match of the whole text in which no line may end
-    doubled = F.when(text.rlike(r"\A.*(\?{2,}|!{2,}).*\z"), 0.1).otherwise(0.0)
-    lines = count_char(text, "\n")
-    return many_periods + commas + apostrophes + doubled + lines * 0.1 + lines * (lines - 1) / 2 * 0.05
+    doubled = F.when(text.contains("??") | text.contains("!!"), text.rlike(r"\A.*(\?{2,}|!{2,}).*\z")).otherwise(text.isNull())
+
+    def score(v: Column) -> Column:
+        ends = v["periods"] + v["others"]
+        many_periods = F.when(v["several"] & (ends > 1) & (v["periods"] > 0) & (v["periods"] / ends > 0.75), 0.15).otherwise(0.0)
+        apostrophes = F.when(v["quotes"] >= 3, F.least(lit(0.2), v["quotes"] * 0.05)).otherwise(0.0)
+        newlines = v["lines"] * 0.1 + v["lines"] * (v["lines"] - 1) / 2 * 0.05
+        return many_periods + F.least(lit(0.1), v["commas"] * 0.01) + apostrophes + F.when(v["doubled"], 0.1).otherwise(0.0) + newlines
+
+    counts = {k: count_char(text, c) for k, c in {"periods": ".", "others": "?!", "commas": ",", "quotes": "'", "lines": "\n"}.items()}
+    return let({"several": several, "doubled": doubled, **counts}, score)
 
 
 def debate_score(text: Column) -> Column:
     questions = F.least(lit(0.2), count_char(text, "?") * 0.08)
-    lower = F.lower(text)
-    conditionals = sum((count_text(lower, c) for c in C.CONDITIONALS), F.lit(0))
+    conditionals = let({"lower": F.lower(text)}, lambda v: sum((count_text(v["lower"], c) for c in C.CONDITIONALS), F.lit(0)))
     structured = F.when((count_char(text, ".?!") > 2) & (u16_len(text) > 80), 0.1).otherwise(0.0)
     quoted = F.when(count_char(text, '"') >= 2, 0.1).otherwise(0.0)
     return questions + F.least(lit(0.15), conditionals * 0.05) + structured + quoted
@@ -203,17 +214,20 @@ def best_ocr(color: Column, gray: Column) -> Column:
 
 def archive_debate_score(text: Column) -> Column:
     """How much an archived message reads like a debate."""
-    lower = F.lower(text)
-    phrases = sum((lower.contains(p).cast("int") for p in C.DEBATE_PHRASES), F.lit(0))
-    questions = count_char(text, "?")
-    conditionals = sum((count_text(lower, c) for c in C.CONDITIONALS if c != " may "), F.lit(0))
-    return (
-        phrases.cast("double")
-        + F.when(questions > 1, questions * 0.5).otherwise(0.0)
-        + F.when((count_char(text, ".?!") > 2) & (F.length(text) > 100), 1.0).otherwise(0.0)
-        + F.when(conditionals > 1, conditionals * 0.3).otherwise(0.0)
-        + F.when(count_char(text, '"') >= 2, 0.5).otherwise(0.0)
-    )
+
+    def score(v: Column) -> Column:
+        lower, questions = v["lower"], v["questions"]
+        phrases = sum((lower.contains(p).cast("int") for p in C.DEBATE_PHRASES), F.lit(0))
+        conditionals = let({"n": sum((count_text(lower, c) for c in C.CONDITIONALS if c != " may "), F.lit(0))}, lambda w: F.when(w["n"] > 1, w["n"] * 0.3).otherwise(0.0))
+        return (
+            phrases.cast("double")
+            + F.when(questions > 1, questions * 0.5).otherwise(0.0)
+            + F.when((v["ends"] > 2) & (v["n"] > 100), 1.0).otherwise(0.0)
+            + conditionals
+            + F.when(v["quotes"] >= 2, 0.5).otherwise(0.0)
+        )
+
+    return let({"lower": F.lower(text), "questions": count_char(text, "?"), "ends": count_char(text, ".?!"), "quotes": count_char(text, '"'), "n": F.length(text)}, score)
 
 
 def isolated_word(text: Column, word: str) -> Column:

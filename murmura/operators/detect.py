@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmura import constants as C
 from murmura.functions import patterns as P
 from murmura.functions.normalize import normalizer
-from murmura.functions.scores import suspicious_encoding
+from murmura.functions.scores import let, suspicious_encoding
 
 
 def keyword_hits(norm: Column, words: list[str], kind: str) -> Column:
@@ -19,11 +19,13 @@ def keyword_hits(norm: Column, words: list[str], kind: str) -> Column:
     """
     out = F.array().cast("array<string>")
     for layer in P.prefix_free_layers(words):
+        # cheapest first: most places fail on their first character
+        starts = "(?=[" + "".join(sorted({"\\" + w[0] if w[0] in "^-]\\[&" else w[0] for w in layer})) + "])"
         body = P.trie_regex(layer)
-        regex = {
-            "whole": f"{P.BEFORE}(?=({body}){P.AFTER})",
-            "start": f"{P.BEFORE}(?=({body}){C.ALNUM})",
-            "end": f"(?<={C.ALNUM})(?=({body}){P.AFTER})",
+        regex = starts + {
+            "whole": f"(?=({body}){P.AFTER}){P.BEFORE}",
+            "start": f"(?=({body}){C.ALNUM}){P.BEFORE}",
+            "end": f"(?=({body}){P.AFTER})(?<={C.ALNUM})",
         }[kind]
         out = F.concat(out, F.regexp_extract_all(norm, F.lit(regex), F.lit(1)))
     return out
@@ -54,14 +56,16 @@ def keyword_heat(norm: Column, heats: dict[str, float], safe: dict[str, float] |
     but with one that has a boundary on one side, adds a flat heat once.
     """
     words = list(heats)
-    if words:
-        whole = keyword_hits(norm, words, "whole")
-        partial = F.array_except(F.array_distinct(F.concat(keyword_hits(norm, words, "start"), keyword_hits(norm, words, "end"))), whole)
-        hot = heat_of(whole, heats) + F.size(partial) * C.PARTIAL_HEAT
-    else:
-        hot = F.lit(0.0)
-    calm = heat_of(keyword_hits(norm, list(safe), "whole"), safe) if safe else F.lit(0.0)
-    return F.greatest(F.lit(0.0), hot + calm)
+
+    def score(v: Column) -> Column:
+        partial = F.array_except(F.array_distinct(F.concat(v["starts"], v["ends"])), v["whole"])
+        return F.greatest(F.lit(0.0), heat_of(v["whole"], heats) + F.size(partial) * C.PARTIAL_HEAT + heat_of(v["calm"], safe or {}))
+
+    def hits(v: Column) -> Column:
+        kinds = {"whole": (words, "whole"), "starts": (words, "start"), "ends": (words, "end"), "calm": (list(safe or {}), "whole")}
+        return let({k: keyword_hits(v["norm"], w, kind) for k, (w, kind) in kinds.items()}, score)
+
+    return let({"norm": norm}, hits)
 
 
 def first_match(norm: Column, rows: list[tuple[str, str, int]]) -> Column:
