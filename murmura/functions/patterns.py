@@ -51,6 +51,18 @@ def bounded(regex: str) -> str:
     return BEFORE + regex + AFTER
 
 
+def first_letters(letters) -> str:
+    """A look-ahead for the first characters; most places of a text fail here, before any look-behind."""
+    return "(?=[" + "".join("\\" + c if c in r"^-[]\&" else c for c in sorted(set(letters))) + "])"
+
+
+def any_of(regexes: list[str]) -> str:
+    """One regex for several of ``pattern_rows``."""
+    bodies = [r.removeprefix(BEFORE).removesuffix(AFTER) for r in regexes]
+    letters = [b.removeprefix("(?:").removeprefix("\\")[0] for b in bodies]
+    return first_letters(letters) + BEFORE + "(?:" + "|".join(bodies) + ")" + AFTER
+
+
 def pattern_rows(words: list[str], normalize) -> list[tuple[str, str, int]]:
     """``(regex, original word, ordinal)`` of each configured word, in order of the configuration.
 

@@ -202,14 +202,19 @@ def ocr_clean(text: Column) -> Column:
 
 def trigram_count(text: Column) -> Column:
     """Overlapping occurrences of common English trigrams."""
-    lower = F.lower(text)
-    return F.regexp_count(lower, F.lit("(?=" + "|".join(C.TRIGRAMS) + ")"))
+
+    def count(v: Column) -> Column:
+        # only a trigram that ends as it begins can overlap itself
+        apart = [count_text(v["lower"], t) for t in C.TRIGRAMS if t[0] != t[2]]
+        return sum(apart, F.regexp_count(v["lower"], F.lit("(?=" + "|".join(t for t in C.TRIGRAMS if t[0] == t[2]) + ")")))
+
+    return let({"lower": F.lower(text)}, count)
 
 
 def best_ocr(color: Column, gray: Column) -> Column:
     """The cleaned reading with more English trigrams; colour wins ties."""
-    a, b = ocr_clean(F.coalesce(color, F.lit(""))), ocr_clean(F.coalesce(gray, F.lit("")))
-    return F.when(trigram_count(a) >= trigram_count(b), a).otherwise(b)
+    readings = {"a": ocr_clean(F.coalesce(color, F.lit(""))), "b": ocr_clean(F.coalesce(gray, F.lit("")))}
+    return let(readings, lambda v: F.when(trigram_count(v["a"]) >= trigram_count(v["b"]), v["a"]).otherwise(v["b"]))
 
 
 def archive_debate_score(text: Column) -> Column:

@@ -19,8 +19,7 @@ def keyword_hits(norm: Column, words: list[str], kind: str) -> Column:
     """
     out = F.array().cast("array<string>")
     for layer in P.prefix_free_layers(words):
-        # cheapest first: most places fail on their first character
-        starts = "(?=[" + "".join(sorted({"\\" + w[0] if w[0] in "^-]\\[&" else w[0] for w in layer})) + "])"
+        starts = P.first_letters(w[0] for w in layer)
         body = P.trie_regex(layer)
         regex = starts + {
             "whole": f"(?=({body}){P.AFTER}){P.BEFORE}",
@@ -75,7 +74,7 @@ def first_match(norm: Column, rows: list[tuple[str, str, int]]) -> Column:
     """
     if not rows:
         return F.lit(None).cast("string")
-    some = norm.rlike(P.BEFORE + "(?:" + "|".join(r[0].removeprefix(P.BEFORE).removesuffix(P.AFTER) for r in rows) + ")" + P.AFTER)
+    some = norm.rlike(P.any_of([r[0] for r in rows]))
     each = F.coalesce(*[F.when(norm.rlike(regex), F.lit(word)) for regex, word, _ in sorted(rows, key=lambda r: r[2])])
     return F.when(some, each)
 
@@ -93,7 +92,7 @@ def patterns_table(spark, configs: DataFrame) -> DataFrame:
     for r in configs.select("id", "config.banned_words").collect():  # one row per configured server
         found = sorted(P.pattern_rows([w for w in r["banned_words"] or [] if w], normalize), key=lambda p: p[2])
         if found:
-            rows.append((r["id"], "|".join(p[0] for p in found), [(p[0], p[1]) for p in found]))
+            rows.append((r["id"], P.any_of([p[0] for p in found]), [(p[0], p[1]) for p in found]))
     return spark.createDataFrame(rows, "server_id string, some string, patterns array<struct<regex: string, word: string>>")
 
 

@@ -12,6 +12,7 @@ from murmura.functions import patterns, scores
 from murmura.functions.normalize import normalize, normalize_ascii, normalizer
 from murmura.operators import archive, context, detect, folds, moderation, monitor, stats
 from murmura.plans import sql as Q
+from murmura.sources import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,7 +36,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
