@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.llm.textarrays import BASE, TextArrays, mix, shingle_hashes
@@ -332,17 +332,11 @@ class Join:
         counts = materialize(entries.groupBy("token").agg(F.count("*").alias("_n")), "join-counts")
         body = ["rep", "comp", "n", "b0", "b1", "b2", "b3"]
         rows = entries.join(counts, "token").withColumn("_rare", F.col("_n") <= self.rare)
-        # a class's tokens stay together: its prefix bounds them
-        lists = rows.groupBy("rep", "comp").agg(*[F.array_sort(F.collect_list(F.when(F.col("_rare") == flag, F.col("token")))).alias(c) for c, flag in (("_few", True), ("_many", False))])
-        lists = materialize(lists.join(self.light, "rep"), "join-rows")
-
-        def keys(tokens: str) -> DataFrame:
-            """Single tokens, each with up to ``BEFORE`` that precede it in its list."""
-            each = F.transform(tokens, lambda t, i: F.struct(t.alias("key"), before(F.col(tokens), i).alias("before")))
-            return lists.select(*body, F.explode(each).alias("_k")).select(*body, "_k.*")
-
-        def before(tokens: Column, i: Column) -> Column:
-            return F.slice(tokens, F.greatest(F.lit(1), i - BEFORE + 1), F.least(i, F.lit(BEFORE)))
+        # each key with up to ``BEFORE`` that precede it among its class's keys
+        order = Window.partitionBy("rep", "comp", "_rare").orderBy("token")
+        before = F.array_compact(F.array(*[F.lag("token", i).over(order) for i in range(1, BEFORE + 1)]))
+        rows = materialize(rows.withColumn("before", before).drop("_n").withColumnRenamed("token", "key").join(self.light, "rep"), "join-rows")
+        single = ["key", *body, "before"]
 
         def pairs(keyed: DataFrame) -> DataFrame:
             """A pair comes from its first common key; where an earlier one is in sight, this one is passed over."""
@@ -351,16 +345,19 @@ class Join:
             seen = F.arrays_overlap("x.before", "y.before")
             return x.join(y, on & close(rule, "x", "y") & ~seen).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-        long = keys("_many").where(F.col("n") >= self.long)
+        few, many = rows.where("_rare").select(*single), rows.where("not _rare")
+        long = many.where(F.col("n") >= self.long).select(*single)
         # similar sets on both sides of ``long`` are both below long * den / num
+        lists = many.where(F.col("n") * rule.num <= self.long * rule.den).groupBy(*body).agg(F.array_sort(F.collect_list("key")).alias("_t"))
+        last = lambda j: F.slice("_t", F.greatest(F.lit(1), j - BEFORE + 1), F.least(j, F.lit(BEFORE)))
         combined = F.flatten(
-            F.transform("_many", lambda u, j: F.transform(F.slice("_many", 1, j), lambda t: F.struct(F.xxhash64(t, u).alias("key"), F.filter(before(F.col("_many"), j), lambda w: w != t).alias("before"))))
+            F.transform("_t", lambda u, j: F.transform(F.slice("_t", 1, j), lambda t: F.struct(F.xxhash64(t, u).alias("key"), F.filter(last(j), lambda w: w != t).alias("before"))))
         )
-        combos = lists.where(F.col("n") * rule.num <= self.long * rule.den).select(*body, F.explode(combined).alias("_k")).select(*body, "_k.*")
+        combos = lists.select(*body, F.explode(combined).alias("_k")).select("_k.key", *body, "_k.before")
         combos = materialize(combos, "join-combinations")
         live = combos.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key")
         live = materialize(live, "join-live")
-        return self.pruned(pairs(keys("_few")).union(pairs(long)).union(pairs(combos.join(live, "key"))).distinct()).select("a", "b")
+        return self.pruned(pairs(few).union(pairs(long)).union(pairs(combos.join(live, "key"))).distinct()).select("a", "b")
 
     def labels(self) -> DataFrame | None:
         """``(v, c)``: component of every linked class; None if there are no links."""
