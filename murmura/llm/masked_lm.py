@@ -4,7 +4,9 @@ The network predicts a word from those around it on both sides.  Training masks
 a seeded share of the positions of every document; each task trains on its own
 part of the corpus and the weights are averaged over the words trained on, for
 a few rounds.  A document's score is the sum of the logarithms of every word's
-probability given both sides.
+probability given both sides: the network's probability of the word's output,
+times, where words share an output, the word's own share of it by the counts of
+all words.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ RATE = 0.15
 SEED = 11
 #: Distinct words that a task counts before it hands its counts on.
 WORDS_HELD = 1 << 20
+#: Counts that travel to every task; rarer words are joined to theirs.
+COMMON = 1 << 18
 #: Sums of weights are made over at most so many parts at once.
 FAN_IN = 64
 
@@ -127,11 +131,16 @@ def word_ids(arrays: TextArrays, vocabulary: np.ndarray, data: np.ndarray, off:
     """Output number and row of every word; frequent words by rank of their hash, others by hash."""
     starts, ends, row = arrays.words(data, off)
     h = arrays.span_hashes(data, starts, ends)
+    return outputs(h, vocabulary), row
+
+
+def outputs(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Output number of each hashed word."""
     other = (FREQUENT + (mix(h) >> np.uint64(32)) % np.uint64(OTHERS)).astype(np.int64)
     if not len(vocabulary):
-        return other, row
+        return other
     at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at, other), row
+    return np.where(vocabulary[at] == h, at, other)
 
 
 def contexts(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -187,6 +196,54 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
     return np.sum([np.frombuffer(r["sums"], np.float64) for r in got], axis=0) / words if words else None
 
 
+@dataclass
+class Shares:
+    """Counts of all words, for the words' shares of the outputs that they have in common.
+
+    A word seen n times has n / (words + distinct words of its output), and one
+    never seen 1 / (words + distinct words): as many words are taken to be unseen
+    as are seen.  ``sizes`` are the denominators by output, 1 for those of a
+    single word.  ``common`` are sorted hashes of at most ``COMMON`` words, those
+    seen ``least`` times or more, and ``times`` their counts.
+    """
+
+    counts: DataFrame
+    sizes: np.ndarray
+    least: int
+    common: np.ndarray
+    times: np.ndarray
+
+
+def shares(counts: DataFrame, vocabulary: np.ndarray) -> Shares:
+    """``Shares`` from the table of ``count_words``; the driver gets sums and ``COMMON`` words at most."""
+    shared = counts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        vocabulary = shared.value
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            n = b.column(1).to_numpy()
+            # outputs, then binary magnitudes of the counts
+            key = np.concatenate([outputs(h, vocabulary), OUTPUTS + np.frexp(n.astype(float))[1] - 1])
+            n = np.concatenate([n, n])
+            some, at = np.unique(key, return_inverse=True)
+            yield pa.record_batch([pa.array(some.astype(np.int64)), pa.array(np.bincount(at, n).astype(np.int64)), pa.array(np.bincount(at).astype(np.int64))], ["key", "n", "distinct"])
+
+    sizes, magnitude = np.zeros(OUTPUTS), np.zeros(64, np.int64)
+    for key, n, distinct in counts.select("word", "n").mapInArrow(run, "key long, n long, distinct long").groupBy("key").agg(F.sum("n"), F.sum("distinct")).collect():
+        if key < OUTPUTS:
+            sizes[key] = n + distinct  # one row for each output
+        else:
+            magnitude[key - OUTPUTS] = distinct
+    sizes[:FREQUENT] = 1
+    over = magnitude[::-1].cumsum()[::-1]
+    least = 1 << max(1, int((over > COMMON).sum()))
+    top = counts.where(F.col("n") >= least).select("word", "n").toArrow()
+    word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    by = np.argsort(word)
+    return Shares(counts, np.maximum(sizes, 1), least, word[by], n[by])
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, Network]:
     """The sorted hashes of the frequent words, and the network.
 
@@ -194,7 +251,11 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, Network]:
     ``MASKED`` of its positions, drawn by a seeded hash, is predicted in each
     round.
     """
-    counts = count_words(docs)
+    return fit(docs, count_words(docs), rounds)
+
+
+def fit(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, Network]:
+    """``train`` with the counts already made."""
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     by = np.argsort(hashes)
@@ -236,31 +297,63 @@ def _trainer(shared, turn: int):
     return run
 
 
-def score(docs: DataFrame, vocabulary: np.ndarray, net: Network) -> DataFrame:
+def score(docs: DataFrame, vocabulary: np.ndarray, net: Network, words: Shares | None = None) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_prob (null without words) of every whole text.
 
-    Null and empty texts have no words and a log-likelihood of 0.  Ids may be
-    null or repeated, an empty table gives an empty result, other columns are
-    ignored.
+    With ``words`` every word is predicted; without, words of one output count
+    as one.  Null and empty texts have no words and a log-likelihood of 0.  Ids
+    may be null or repeated, an empty table gives an empty result, other columns
+    are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat()))
+    # a word's count is a join for all but the common ones: the counts grow with the corpus
+    known = None if words is None else (np.log(words.sizes), words.common, np.log(words.times))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat(), known))
+    names = ["_row", "doc_id", "n_words", "log_likelihood", "word"]
 
     def run(batches):
-        vocabulary, flat = shared.value
+        from pyspark import TaskContext
+
+        vocabulary, flat, known = shared.value
         net, arrays = Network.of(flat), TextArrays()
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
             for first, n, data, off in arrays.batches(b.column(1)):
-                ids, row = word_ids(arrays, vocabulary, data, off)
+                starts, ends, row = arrays.words(data, off)
+                h = arrays.span_hashes(data, starts, ends)
+                ids = outputs(h, vocabulary)
                 got = net.log_probs(contexts(ids, row), ids)
-                count = np.bincount(row, minlength=n)
+                doc = b.column(0).slice(first, n)
+                if known is not None:
+                    sizes, common, times = known
+                    got -= sizes[ids]
+                    open_ = np.flatnonzero(ids >= FREQUENT)
+                    if len(common):
+                        to = np.minimum(np.searchsorted(common, h[open_]), len(common) - 1)
+                        same = common[to] == h[open_]
+                        got[open_[same]] += times[to[same]]
+                        open_ = open_[~same]
+                    if len(open_):
+                        k = len(open_)
+                        yield pa.record_batch([pa.array(at + row[open_]), pa.nulls(k, doc.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(h[open_].view(np.int64))], names)
+                count = np.bincount(row, minlength=n).astype(np.int64)
                 total = np.bincount(row, got, n).astype(float)
-                mean = np.divide(total, count, where=count > 0, out=np.zeros(n))
-                yield pa.record_batch([b.column(0).slice(first, n), pa.array(count.astype(np.int64)), pa.array(total), pa.array(mean, mask=count == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_prob"])
+                yield pa.record_batch([pa.array(at + np.arange(n)), doc, pa.array(count), pa.array(total), pa.nulls(n, pa.int64())], names)
+                at += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_prob double")
+    rows = docs.select("doc_id", "text").transform(small_batches).mapInArrow(run, f"_row long, doc_id {kind}, n_words long, log_likelihood double, word long")
+    if words is not None:
+        rows = materialize(rows, "lm-scores")
+        # words seen once or never have a count of 1, whose logarithm is 0
+        rare = words.counts.where((F.col("n") > 1) & (F.col("n") < words.least))
+        told = rows.where("word is not null").select("_row", "word").join(rare, "word").groupBy("_row").agg(F.sum(F.log("n")).alias("_more"))
+        rows = rows.where("word is null").join(told, "_row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return rows.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_prob"))
 
 
 def train_and_score(docs: DataFrame) -> DataFrame:
-    """``score`` of every document by the network that ``train`` makes of all of them."""
-    return score(docs, *train(docs))
+    """``score`` of every word of every document by the network and the counts of all of them."""
+    counts = count_words(docs)
+    vocabulary, net = fit(docs, counts)
+    return score(docs, vocabulary, net, shares(counts, vocabulary))

@@ -244,3 +244,38 @@ def test_masked_odd_rows(spark):
     for r in got:
         assert np.isfinite(r.log_likelihood) and (r.mean_log_prob is None) == (r.n_words == 0)
     assert masked_lm.train_and_score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("common", [1 << 18, 1000, 0])
+def test_every_word_has_its_own_probability(spark, tables, monkeypatch, common):
+    monkeypatch.setattr(masked_lm, "COMMON", common)
+    docs = tables[0].limit(300).select("doc_id", "text")
+    counts = masked_lm.count_words(docs)
+    vocabulary, net = masked_lm.fit(docs, counts, rounds=0)
+    words = masked_lm.shares(counts, vocabulary)
+    assert len(words.common) <= common
+    odd = spark.createDataFrame([(-1, "zqxv0 zqxv1 zqxv0"), (-2, ""), (-3, None), (None, "zqxv0")], "doc_id bigint, text string")
+    some = docs.limit(20).union(odd)
+    seen = Counter(w for r in docs.collect() for w in WORD.findall(r.text or ""))
+    arrays = TextArrays()
+
+    def ids_of(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return masked_lm.word_ids(arrays, vocabulary, raw, np.array([0, len(raw)]))[0]
+
+    total, distinct = Counter(), Counter()
+    for w, n in seen.items():
+        (k,) = ids_of(w)
+        total[k] += n
+        distinct[k] += 1
+    by_class = {str(r.doc_id): r.log_likelihood for r in masked_lm.score(some, vocabulary, net).collect()}
+    got = {str(r.doc_id): r for r in masked_lm.score(some, vocabulary, net, words).collect()}
+    assert len(got) == some.count()
+    for r in some.collect():
+        want = by_class[str(r.doc_id)]
+        for w, k in zip(WORD.findall(r.text or ""), ids_of(r.text or ""), strict=True):
+            if k >= masked_lm.FREQUENT:
+                want += np.log(max(1, seen[w]) / (total[k] + distinct[k]))
+        assert got[str(r.doc_id)].log_likelihood == pytest.approx(want, rel=1e-6)
+    rarest = min(seen[w] for w in seen if ids_of(w)[0] < masked_lm.FREQUENT)
+    assert got["None"].mean_log_prob < np.log(rarest / sum(seen.values()))
