@@ -6,19 +6,19 @@ temperature fitted on rows that the weights have not seen calibrates scores.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.scratch import small_batches
 
 BUCKETS = 1 << 14
-#: Rows of the training sample in all, and the longest text in it, in characters.
+#: Rows of the training sample in all.
 TRAIN_ROWS = 4000
-TRAIN_CHARS = 20_000
 UNKNOWN = "und"
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -113,14 +113,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
+def level(sizes: list[int], room: int) -> int:
+    """The least rows for each size, or all of a smaller one, that fill the room together."""
+    left = sorted(sizes)
+    for i, n in enumerate(left):
+        each = -(-room // (len(left) - i))
+        if n >= each:
+            return max(1, each)
+        room -= n
+    return max(1, left[-1])
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from the text and non-null lang of documents that aren't held out.
 
     Document frequencies count all of these documents.  The weights learn from a
-    sample of at most ``train_rows`` of them, of ``TRAIN_CHARS`` characters at
-    most each, spread over the languages and chosen by a hash of the id; one in
-    five of the sample only sets the temperature.  Without such documents the
-    model knows no label and says ``und``.
+    sample of at most ``train_rows`` of them, chosen by a hash of the id: every
+    language has as many as any other, or all that it has.  Their whole texts
+    are learned; one in five of each language only sets the temperature.
+    Without such documents the model knows no label and says ``und``.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
@@ -139,25 +150,37 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         seen[bucket] = n  # one row for each bucket
     idf = np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1
 
-    short = rows.where(F.length("text") <= TRAIN_CHARS)
     # the largest languages: the sample has no room for more
-    sizes = {r[0]: r[1] for r in short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(train_rows).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(train_rows).collect()}
     if not sizes:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    each = max(1, train_rows // len(sizes))
+    each = level(list(sizes.values()), train_rows)
     wide = 1 << 30
-    shares = docs.sparkSession.createDataFrame([(k, min(wide, int(wide * 1.5 * each / v) + 1)) for k, v in sizes.items()], "_lang string, _share long")
+    # more than are needed, as draws scatter; ranks within the language then cut them
+    shares = docs.sparkSession.createDataFrame([(k, min(wide, int(wide * (1.5 * each + 30) / v) + 1)) for k, v in sizes.items()], "_lang string, _share long")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(wide))
-    sample = short.withColumn("_draw", draw).join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.col("_draw") < F.col("_share"))
-    sample = sample.orderBy("_draw", "doc_id", "text", "lang").limit(train_rows).select("text", "lang").collect()
-    labels = sorted({r["lang"] for r in sample})
-    y = np.array([labels.index(r["lang"]) for r in sample])
-    sparse = []
-    for r in sample:
-        v = tfidf(gram_counts(r["text"]), idf)
-        at = np.flatnonzero(v).astype(np.int32)
-        sparse.append((at, v[at].astype(np.float32)))
-    aside = np.arange(len(y)) % 5 == 4
+    drawn = rows.withColumn("_draw", draw).join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.col("_draw") < F.col("_share"))
+
+    def features(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 64):
+                part = b.slice(a, 64)
+                at, value = [], []
+                for text in part.column(3).to_pylist():
+                    v = tfidf(gram_counts(text), idf)
+                    at.append(np.flatnonzero(v).astype(np.uint16))
+                    value.append(v[at[-1]].astype(np.float32).tobytes())
+                yield pa.record_batch([*[part.column(i) for i in range(3)], pa.array([x.tobytes() for x in at], pa.binary()), pa.array(value, pa.binary())], ["draw", "id", "lang", "at", "value"])
+
+    vectors = drawn.select("_draw", F.col("doc_id").cast("string"), "lang", "text").transform(small_batches).mapInArrow(features, "draw long, id string, lang string, at binary, value binary")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "at", "value"))
+    sample = vectors.withColumn("rank", rank).orderBy("rank", "draw", "id", "lang", "at", "value").limit(train_rows).collect()
+    # one in five of each language aside; then in an order that languages have no part in
+    sample = sorted(((zlib.crc32(f"{r['id']}:{r['rank']}".encode()), r["lang"], r["rank"], r["at"], r["value"]) for r in sample))
+    labels = sorted({r[1] for r in sample})
+    y = np.array([labels.index(r[1]) for r in sample])
+    sparse = [(np.frombuffer(at, np.uint16).astype(np.int32), np.frombuffer(value, np.float32)) for *_, at, value in sample]
+    aside = np.array([r[2] % 5 == 0 for r in sample])
     w, b = follow_the_leader([s for s, out in zip(sparse, aside, strict=True) if not out], y[~aside], len(labels))
     logits = np.stack([sparse[i][1] @ w[sparse[i][0]] + b for i in np.flatnonzero(aside)]) if aside.any() else np.zeros((0, len(labels)))
     return Model(labels, idf, w.astype(np.float32).astype(float), b, temperature(logits, y[aside]))

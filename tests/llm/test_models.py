@@ -114,6 +114,22 @@ def test_language_odd_rows(spark):
     assert langid.keep_known(docs).columns == docs.columns
 
 
+def test_rare_languages_and_long_texts_are_learned(spark):
+    kinds = {"aa": (6000, "banana cabana "), "bb": (4000, "merry kelp tree "), "cc": (60, "sumum durum tutum "), "dd": (40, "posto zolto rok ")}
+    rows = [(i * 10 + k, text * (2000 if lang == "dd" else 3), lang) for k, (lang, (n, text)) in enumerate(kinds.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, train_rows=400)
+    assert model.labels == sorted(kinds)
+    said, _ = model.predict([text * 3 for _, text in kinds.values()])
+    assert said == list(kinds)
+
+
+def test_level_fills_the_room():
+    assert langid.level([400, 250, 200, 10], 100) == 30
+    assert langid.level([400, 250, 200, 140, 10], 4000) == 400
+    assert langid.level([5, 5], 1) == 1
+
+
 def test_elastic_net_leaves_zeros_and_temperature_calibrates():
     rng = np.random.default_rng(1)
     rows, y = [], []
