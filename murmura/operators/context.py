@@ -89,19 +89,20 @@ def collaborative(messages: DataFrame, rows: list[tuple[str, str, int]], norm: s
     return out.where(fits).withColumn("_first", first).where("_first = 1").drop("_all", "_joined", "_from", "_to", "_in", "_nth", "_first", "history")
 
 
-def reply_depth(messages: DataFrame, most: int = 1000) -> DataFrame:
+def reply_depth(messages: DataFrame) -> DataFrame:
     """``(message_id, depth)``: how many messages a chain of replies goes back.
 
     Pointers double each round, so a chain of n replies takes log2(n) joins; a
-    chain that ends at an unknown message counts up to it.
+    chain that ends at an unknown message counts up to it.  Each round ends some
+    chain unless only cycles are left, whose depth is the steps followed so far.
     """
     from murmura.scratch import materialize
 
     links = messages.select("message_id", F.col("reply_to_message_id").alias("up"), F.when(F.col("reply_to_message_id").isNull(), 0).otherwise(1).alias("depth"))
     links = materialize(links, "reply-links")
-    step = 1
-    while step < most and links.where("up is not null").limit(1).count():
+    left, before = links.where("up is not null").count(), None
+    while left and (before is None or left < before):
         far = links.select(F.col("message_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
         links = materialize(links.join(far, "up", "left").select("message_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "reply-links")
-        step *= 2
+        left, before = links.where("up is not null").count(), left
     return links.select("message_id", "depth")

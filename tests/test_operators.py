@@ -190,3 +190,9 @@ def test_history_on_a_stream_equals_the_window(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.message_id: r.context for r in spark.table("history_stream").collect()} == want
+
+
+def test_reply_depth_of_long_chains_and_cycles(spark):
+    rows = [(i, i - 1 if i else None) for i in range(2500)] + [(3000, 3001), (3001, 3000), (3002, 3001)]
+    got = dict(tuple(r) for r in context.reply_depth(spark.createDataFrame(rows, "message_id long, reply_to_message_id long")).collect())
+    assert len(got) == len(rows) and all(got[i] == i for i in range(2500))
