@@ -27,7 +27,7 @@ STEPS = [
     (r"([0-9])\.0([^0-9.]|$)", "$1$2"),
     (r"[^\p{L}\p{N}]+", " "),
 ]
-#: Every known one-line notice holds one of these after lower-casing.
+#: Lines that the SQL looks up; ``scan`` looks up every line.
 MARK = r"licen[cs]|spdx"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -118,9 +118,11 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     spark = docs.sparkSession
     found = known_digests(spark, known)
     small = F.broadcast(spark.createDataFrame(found, "_digest string, license_id string"))
+    # a set finds a digest faster than a map does, which is searched from its start
+    known_set = [d for d, _ in found]
     names = F.create_map(*[F.lit(x) for pair in found for x in pair]) if found else F.create_map().cast("map<string,string>")
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.lower(x).rlike(MARK))
-    hits = F.filter(F.transform(lines, lambda x: F.try_element_at(names, digest(x))), lambda x: x.isNotNull())
+    lines = F.filter(F.transform(F.split(F.col("text"), "\n"), digest), lambda x: x.isin(known_set))
+    hits = F.transform(lines, lambda x: F.try_element_at(names, x))
     rows = docs.select("doc_id", digest(F.col("text")).alias("text_digest"), F.coalesce(hits, F.array().cast("array<string>")).alias("_hits"))
     return rows.join(small, F.col("text_digest") == F.col("_digest"), "left").select(
         "doc_id", "text_digest", "license_id", F.array_sort(F.array_distinct("_hits")).alias("line_licenses"), F.size("_hits").cast("long").alias("n_license_lines")

@@ -103,3 +103,11 @@ def test_own_texts(spark):
 def test_known_digests_name_one_licence(spark):
     found = licenses.known_digests(spark)
     assert len({d for d, _ in found}) == len(found) and {"MIT", "Apache-2.0", "GPL-3.0-only"} <= {x for _, x in found}
+
+
+def test_every_notice_is_found_as_a_line(spark):
+    notices = [(i, t) for i, t in licenses.known_texts() if "\n" not in t]
+    got = scan(spark, *[f"first\n{t}\nlast" for _, t in notices])
+    assert [g[1:] for g in got] == [([i], 1) for i, _ in notices]
+    df = spark.createDataFrame([(1, "first\nmy OWN terms!\nlast")], "doc_id int, text string")
+    assert licenses.scan(df, [("own", "My own terms")]).first().line_licenses == ["own"]
