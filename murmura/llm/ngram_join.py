@@ -8,10 +8,12 @@ classes and K-token combinations for frequent ones; candidates are then verified
 on their whole sets.
 
 Equal sets are one class from the start.  For components, classes that are
-already linked need no further links: each index entry links its classes to one
-pivot first, and only entries that still hold several components are searched
-for all remaining links.  So the work on a group of copies grows with its size,
-not with its pairs, and no link between different components is missed.
+already linked need no further links: each list of the index links its classes
+to one pivot first, and only lists that still hold several components are
+searched for all remaining links.  A pair comes from its first common list only,
+and only if enough tokens are left from there on.  So the work on a group of
+copies grows with its size, not with its pairs, and no link between different
+components is missed.
 
 Sets hold 64-bit hashes; two different tokens of a compared pair share one with
 a probability below 1e-12.
@@ -42,11 +44,13 @@ COMMON = 24
 ORDERED = 1 << 17
 #: Sets from this size on are indexed by single tokens in any class, smaller ones by combinations.
 LONG = 512
-#: Rounds of links to pivots; they end early once a round adds a smaller share than ``FEW``.
-ROUNDS = 4
+#: Rounds of links to pivots, at most; they end once a round adds a smaller share than ``FEW``, or
+#: at most ``PAIRS`` pairs are left for each index entry.
+ROUNDS = 8
+PAIRS = 8
+FEW = 0.05
 #: Preceding keys that tell whether a pair has come up already.
 BEFORE = 4
-FEW = 0.05
 #: Ids of documents to verify or to drop that are broadcast, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 WORDS_COUNTED = 1 << 20
@@ -235,8 +239,19 @@ def components(edges: DataFrame) -> DataFrame:
         label = materialize(after.select("v", "c").join(up, "c").select("v", F.col("_up").alias("c")), "join-labels")
 
 
+def able(entries: DataFrame) -> DataFrame:
+    """Entries of the classes whose lists and room can make up what a partner must share."""
+    enough = F.col("room") + F.sum("m").over(Window.partitionBy("rep")) >= F.col("least")
+    return entries.withColumn("_enough", enough).where("_enough").drop("_enough")
+
+
 class Join:
-    """The index of one table: signatures, classes of equal sets, and index entries."""
+    """The index of one table: signatures, classes of equal sets, and index entries.
+
+    Tokens that exactly the same classes have in their prefixes make one list of
+    the index: they say the same about every pair.  An entry ``(rep, list)``
+    holds how many tokens the list stands for, ``m``, and the place of the first.
+    """
 
     def __init__(self, docs: DataFrame, rule: Rule, rare: int = RARE, long: int = LONG):
         self.docs, self.rule, self.rare, self.long = docs, rule, rare, long
@@ -249,62 +264,70 @@ class Join:
         firsts = self.signed.where("n > 0 and doc_id is not null").join(small, (F.col("doc_id") == F.col("_id")) & (F.col("d0") == F.col("_d0")), "left_anti").withColumnRenamed("doc_id", "rep")
         if narrow.groupBy("doc_id").count().where("count > 1").limit(1).count():
             firsts = firsts.dropDuplicates(["rep", "d0", "d1", "n"])
-        self.entries = self.indexed(firsts, "join-entries")
-        late = self.entries.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
-        extra = bounded_counts(materialize(late, "join-late"), ORDERED)
-        if len(extra[0]):
-            firsts = self.reordered(firsts, merged_counts(frequent, extra))
-            self.entries = self.indexed(firsts, "join-entries")
+        postings = self.postings(firsts)
+        late = bounded_counts(postings.where(F.col("n") > COMMON).select("token", "n"), ORDERED)
+        if len(late[0]):
+            firsts = self.reordered(firsts, late[0], merged_counts(frequent, late))
+            postings = self.postings(firsts)
         self.light = firsts.select("rep", "n", "b0", "b1", "b2", "b3")
         self.bits = firsts.select("rep", "n", "bits")
-        # few tokens of its own: a class in the middle of its group
-        own = self.entries.groupBy(F.col("rep").alias("_rep")).agg(F.count("*").alias("_shared"))
-        middle = F.max(F.col("_shared") / (F.col("n") * (1 - rule.num / rule.den) + K)).alias("middle")
-        self.middle = own.join(self.light.select("rep", "n"), F.col("_rep") == F.col("rep")).groupBy("_rep").agg(middle)
-        counts = materialize(self.entries.groupBy("token").agg(F.count("*").alias("_n")), "join-counts")
-        self.entries = materialize(self.entries.join(counts, "token").join(self.middle, F.col("rep") == F.col("_rep")).drop("_rep"), "join-entries")
-
-    def indexed(self, firsts: DataFrame, name: str) -> DataFrame:
-        """Index entries ``(rep, token)`` of tokens that several classes have in their prefixes."""
+        self.entries = self.indexed(firsts, postings)
+
+    @staticmethod
+    def postings(firsts: DataFrame) -> DataFrame:
+        """token, n (classes with it in their prefixes) and list (a hash of those classes) of shared tokens."""
         entries = firsts.select("rep", F.explode("prefix").alias("token"))
-        # written, so that both sides of the join are dealt anew and hot tokens can be split
-        shared = materialize(entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token"), "join-shared")
-        return materialize(entries.join(shared, "token"), name)
+        who = [F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(1)), 24)).alias("_s"), F.bit_xor(F.xxhash64("rep", F.lit(2))).alias("_x")]
+        shared = entries.groupBy("token").agg(F.count("*").alias("n"), *who).where("n > 1")
+        # written, so that both sides of the join with entries are dealt anew and hot tokens can be split
+        return materialize(shared.select("token", "n", F.xxhash64("n", "_s", "_x").alias("list")), "join-postings")
 
-    def reordered(self, firsts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-        """Signatures in the order of ``frequent``.
+    def indexed(self, firsts: DataFrame, postings: DataFrame) -> DataFrame:
+        """Entries ``(rep, list, least, room, place, m)`` of classes that may have a partner.
 
-        Only classes with a newly frequent token in their prefix are signed
-        again: all others have the same prefix in either order.
+        ``least`` is what a class must share with any partner, ``room`` how many
+        of its tokens lie behind its prefix.  What it shares is no more than
+        these and its lists' tokens.
+        """
+        size, head = F.col("n"), F.size("prefix")
+        least = F.ceil(size * self.rule.num / F.lit(float(self.rule.den)) - F.lit(1e-6)).cast("long")
+        tokens = firsts.select("rep", least.alias("least"), (size - head).cast("long").alias("room"), F.posexplode("prefix").alias("place", "token"))
+        lists = tokens.join(postings.select("token", "list"), "token").groupBy("rep", "least", "room", "list").agg(F.min("place").alias("place"), F.count("*").alias("m"))
+        return materialize(able(materialize(lists, "join-lists")), "join-entries")
+
+    def reordered(self, firsts: DataFrame, late: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        """Signatures in the order of ``frequent``, which has the tokens ``late`` anew.
+
+        Only classes with such a token in their prefix are signed again: all
+        others have the same prefix in either order.
         """
         spark = self.docs.sparkSession
-        token = frequent[0].view(np.int64)
-        late = F.broadcast(spark.createDataFrame(pd.DataFrame({"token": token}), "token long"))  # ORDERED rows at most, twice
-        hit = materialize(self.entries.join(late, "token", "left_semi").select("rep").distinct(), "join-reordered")
-        small, _ = bounded_broadcast(hit.select(F.col("rep").alias("_id")), BROADCAST_IDS)
+        token = F.broadcast(spark.createDataFrame(pd.DataFrame({"token": late.view(np.int64)}), "token long"))  # ORDERED rows at most
+        hit = firsts.select("rep", F.explode("prefix").alias("token")).join(token, "token", "left_semi").select("rep").distinct()
+        small, _ = bounded_broadcast(materialize(hit.select(F.col("rep").alias("_id")), "join-reordered"), BROADCAST_IDS)
         again = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small, F.col("doc_id") == F.col("_id"), "left_semi")
         signed = signatures(again, self.rule, frequent).where("n > 0").withColumnRenamed("doc_id", "rep")
         kept = firsts.join(small, F.col("rep") == F.col("_id"), "left_anti")
         return materialize(kept.unionByName(signed.select(*kept.columns)), "join-signatures")
 
-    def pivots(self, label: DataFrame | None, turn: int) -> DataFrame:
-        """One candidate ``(a, b)`` for each class: of its entries' pivots, the one nearest by parity bits.
+    def pivots(self, entries: DataFrame, turn: int) -> DataFrame:
+        """One candidate ``(a, b)`` for each class: of its lists' pivots, the one nearest by parity bits.
 
-        An entry's pivot is its class that shares most of its prefix with others,
+        A list's pivot is its class that shares most of its prefix with others,
         so it lies in the middle of a group of copies; later turns add noise that
-        is drawn for each frequent entry.
+        is drawn for each frequent list.  A class and its pivot are of different
+        components.
         """
-        seed = F.when(F.col("_n") > SMALL, F.col("token")).otherwise(F.lit(0))
+        mine = Window.partitionBy("rep")
+        middle = F.sum("m").over(mine) / (F.max("least").over(mine) * (1 / self.rule.num * self.rule.den - 1) + K)
+        rows = materialize(entries.withColumn("_middle", middle).join(entries.groupBy("list").agg(F.count("*").alias("_n")), "list"), "join-turn")
+        seed = F.when(F.col("_n") > SMALL, F.col("list")).otherwise(F.lit(0))
         noise = F.pmod(F.xxhash64("rep", seed, F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        order = F.struct((noise * (0.001 + 0.15 * turn) - F.col("middle")).alias("h"), F.col("rep").alias("pivot"))
-        first = materialize(self.entries.groupBy("token").agg(F.min(order)["pivot"].alias("pivot")), "join-first")
-        votes = self.entries.join(first, "token").where("rep != pivot").select("rep", "pivot").distinct()
-        if label is not None:
-            mine = label.select(F.col("v").alias("rep"), F.col("c").alias("_mine"))
-            theirs = label.select(F.col("v").alias("pivot"), F.col("c").alias("_theirs"))
-            votes = votes.join(mine, "rep", "left").join(theirs, "pivot", "left").where(F.coalesce("_mine", "rep") != F.coalesce("_theirs", "pivot"))
+        order = F.struct((noise * (0.001 + 0.15 * turn) - F.col("_middle")).alias("h"), F.col("rep").alias("pivot"), F.col("comp").alias("_theirs"))
+        first = materialize(rows.groupBy("list").agg(F.min(order).alias("_first")).select("list", "_first.pivot", "_first._theirs"), "join-first")
+        votes = rows.join(first, "list").where("comp != _theirs").select(F.col("rep").alias("_rep"), "pivot").distinct()
         x, y = self.light.alias("x"), self.light.alias("y")
-        near = votes.withColumnRenamed("rep", "_rep").join(x, F.col("_rep") == F.col("x.rep")).join(y, F.col("pivot") == F.col("y.rep")).where(close(self.rule, "x", "y"))
+        near = votes.join(x, F.col("_rep") == F.col("x.rep")).join(y, F.col("pivot") == F.col("y.rep")).where(close(self.rule, "x", "y"))
         near = self.pruned(near.select(F.col("x.rep").alias("a"), F.col("pivot").alias("b")))
         return near.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
 
@@ -317,60 +340,86 @@ class Join:
         return measured.where(F.col("_d") <= far_apart(self.rule, total)).select("a", "b", (F.col("_d") / total).alias("apart"))
 
     def mixed(self, label: DataFrame | None) -> DataFrame:
-        """Entries ``(token, rep, comp)`` whose classes belong to several components."""
+        """Entries with ``comp`` whose lists hold several components, of classes that may link to another one."""
         if label is None:
-            return self.entries.select("token", "rep", F.col("rep").alias("comp"))
-        named = self.entries.select("token", "rep").join(label.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
-        named = materialize(named, "join-named")
-        several = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("token")
-        return named.join(materialize(several, "join-several"), "token")
+            return self.entries.withColumn("comp", F.col("rep"))
+        named = self.entries.join(label.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
+        for name in ("join-named", "join-able"):  # what the first pass takes away leaves further lists with one component
+            named = materialize(named, name)
+            several = named.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("list")
+            named = able(named.join(materialize(several, "join-several"), "list"))
+        return materialize(named, "join-mixed")
+
+    def work(self, entries: DataFrame) -> tuple[int, int]:
+        """Pairs of entries of one list and different components, and the number of entries."""
+        sizes = materialize(entries.groupBy("list", "comp").agg(F.count("*").alias("n")), "join-sizes")
+        lists = sizes.groupBy("list").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        pairs, n = lists.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+        return int(pairs or 0), n or 0
 
     def candidates(self, entries: DataFrame) -> DataFrame:
-        """All pairs ``(a, b)`` of classes of different components that may be similar."""
+        """All pairs ``(a, b)`` of classes of different components that may be similar.
+
+        A pair comes from the first list that both have, in the order of places.
+        What both share then is bounded: by the tokens behind the prefix, by
+        this list's and by those of lists that come later.
+        """
         rule = self.rule
-        entries = materialize(entries, "join-mixed")
-        counts = materialize(entries.groupBy("token").agg(F.count("*").alias("_n")), "join-counts")
+        counts = materialize(entries.groupBy("list").agg(F.count("*").alias("_n")), "join-counts")
+        # a list of several tokens is a combination of them
+        rows = entries.join(counts, "list").withColumn("_one", (F.col("_n") <= self.rare) | (F.col("m") >= K))
+        kind = Window.partitionBy("rep", "_one").orderBy("place")
+        gone = F.coalesce(F.sum("m").over(kind.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bound = F.col("room") + F.sum("m").over(Window.partitionBy("rep")) - gone
+        before = F.array_compact(F.array(*[F.lag("list", i).over(kind) for i in range(1, BEFORE + 1)]))
+        rows = rows.withColumn("bound", bound).withColumn("before", before).withColumnRenamed("list", "key")
         body = ["rep", "comp", "n", "b0", "b1", "b2", "b3"]
-        rows = entries.join(counts, "token").withColumn("_rare", F.col("_n") <= self.rare)
-        # each key with up to ``BEFORE`` that precede it among its class's keys
-        order = Window.partitionBy("rep", "comp", "_rare").orderBy("token")
-        before = F.array_compact(F.array(*[F.lag("token", i).over(order) for i in range(1, BEFORE + 1)]))
-        rows = materialize(rows.withColumn("before", before).drop("_n").withColumnRenamed("token", "key").join(self.light, "rep"), "join-rows")
-        single = ["key", *body, "before"]
+        rows = materialize(rows.select("key", "rep", "comp", "_one", "place", "least", "bound", "before").join(self.light, "rep"), "join-rows")
+        single = ["key", *body, "bound", "before"]
 
         def pairs(keyed: DataFrame) -> DataFrame:
             """A pair comes from its first common key; where an earlier one is in sight, this one is passed over."""
             x, y = keyed.alias("x"), keyed.alias("y")
             on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+            needed = F.ceil((F.col("x.n") + F.col("y.n")) * rule.num / F.lit(float(rule.num + rule.den)) - F.lit(1e-6))
+            may = F.least("x.bound", "y.bound") >= needed
             seen = F.arrays_overlap("x.before", "y.before")
-            return x.join(y, on & close(rule, "x", "y") & ~seen).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+            return x.join(y, on & close(rule, "x", "y") & may & ~seen).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-        few, many = rows.where("_rare").select(*single), rows.where("not _rare")
-        long = many.where(F.col("n") >= self.long).select(*single)
+        fit = F.col("bound") >= F.col("least")
+        few, many = rows.where(F.col("_one") & fit).select(*single), rows.where(~F.col("_one"))
+        long = many.where((F.col("n") >= self.long) & fit).select(*single)
         # similar sets on both sides of ``long`` are both below long * den / num
-        lists = many.where(F.col("n") * rule.num <= self.long * rule.den).groupBy(*body).agg(F.array_sort(F.collect_list("key")).alias("_t"))
-        last = lambda j: F.slice("_t", F.greatest(F.lit(1), j - BEFORE + 1), F.least(j, F.lit(BEFORE)))
+        lists = many.where(F.col("n") * rule.num <= self.long * rule.den).groupBy(*body, "least").agg(F.array_sort(F.collect_list(F.struct("place", "key", "bound"))).alias("_t"))
+        earlier = lambda j: F.slice("_t", F.greatest(F.lit(1), j - BEFORE + 1), F.least(j, F.lit(BEFORE)))
         combined = F.flatten(
-            F.transform("_t", lambda u, j: F.transform(F.slice("_t", 1, j), lambda t: F.struct(F.xxhash64(t, u).alias("key"), F.filter(last(j), lambda w: w != t).alias("before"))))
+            F.transform("_t", lambda u, j: F.transform(F.slice("_t", 1, j), lambda t: F.struct(F.xxhash64(t["key"], u["key"]).alias("key"), t["bound"].alias("bound"), F.filter(earlier(j)["key"], lambda w: w != t["key"]).alias("before"))))
         )
-        combos = lists.select(*body, F.explode(combined).alias("_k")).select("_k.key", *body, "_k.before")
-        combos = materialize(combos, "join-combinations")
+        combos = lists.select(*body, "least", F.explode(combined).alias("_k")).select("_k.key", *body, "least", "_k.bound", "_k.before").where(fit)
+        combos = materialize(combos.select(*single), "join-combinations")
         live = combos.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key")
         live = materialize(live, "join-live")
-        return self.pruned(pairs(few).union(pairs(long)).union(pairs(combos.join(live, "key"))).distinct()).select("a", "b")
+        return self.pruned(pairs(few).union(pairs(long)).union(pairs(combos.join(live, "key").select(*single))).distinct()).select("a", "b")
 
     def labels(self) -> DataFrame | None:
-        """``(v, c)``: component of every linked class; None if there are no links."""
-        label, total = None, 0
+        """``(v, c)``: component of every linked class; None if there are no links.
+
+        Links to pivots come first.  They are repeated until a round finds few or
+        the pairs that are left are few for the entries; all of those are tried.
+        """
+        label, rest, total = None, self.mixed(None), 0
         for turn in range(ROUNDS):
-            links = materialize(verify(materialize(self.pivots(label, turn), "join-pivots"), self.docs, self.rule).select("a", "b"), "join-links")
+            links = materialize(verify(materialize(self.pivots(rest, turn), "join-pivots"), self.docs, self.rule).select("a", "b"), "join-links")
             n = links.count()
             total += n
             if n:
                 label = self.merged(label, links)
-            if n <= total * FEW:
+                rest = self.mixed(label)
+            if n <= FEW * total:
+                break
+            left, entries = self.work(rest)
+            if left <= PAIRS * entries:
                 break
-        rest = self.mixed(label)
         pairs = materialize(self.candidates(rest), "join-candidates")
         if pairs.limit(1).count():
             links = materialize(verify(pairs, self.docs, self.rule).select("a", "b"), "join-links")
