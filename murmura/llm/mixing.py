@@ -3,6 +3,9 @@
 Tokens are summed per source, each source's target over its tokens is its
 repetition rate, and a document is emitted floor(rate) times plus once more
 with the probability of the rate's fraction, drawn from a hash of its id.
+
+One step goes beyond a single Bernoulli draw: each source takes, of ``DRAWS``
+independent ones, that whose copies come nearest to its target.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from murmura.scratch import bounded_broadcast, materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many are broadcast; beyond, the join is salted and shuffled.
 BROADCAST_SOURCES = 100_000
-#: Draws that are tried for each source; the one nearest to its target counts.
+#: Independent draws that are tried for each source; the one nearest to its target counts.
 DRAWS = 64
 BITS = 48
 
@@ -26,14 +29,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """An integer below 2**48 from the id (null as the text 'null') and the seed."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 12), 16, 10).cast("long")
+def draw(doc_id: Column, seed: int, k: Column) -> Column:
+    """12 hexadecimal digits, a number below 2**48, from the id (null as the text 'null'), the seed and the try."""
+    return F.substring(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(str(seed)), k.cast("string"))), 1, BITS // 4)
 
 
-def shift(k: int) -> int:
-    """What draw k adds to a document's number, modulo 2**48."""
-    return k * 173_961_102_589_771 % (1 << BITS)
+def bar(rate: Column) -> Column:
+    """The hexadecimal digits below which a draw gives one copy more: the rate's fraction of 2**48."""
+    most = F.ceil((rate - F.floor(rate)) * F.lit(float(1 << BITS)))
+    return F.format_string(f"%0{BITS // 4}x", F.least(most, F.lit((1 << BITS) - 1)).cast("long"))
 
 
 def with_targets(sources: DataFrame, weight: Column, cap: int) -> DataFrame:
@@ -58,43 +62,45 @@ def with_targets(sources: DataFrame, weight: Column, cap: int) -> DataFrame:
 
 def source_rates(docs: DataFrame, weights, cap: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The documents' sizes, and each source's size, target, rate and draw."""
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("_u")), "mix-sizes")
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     ranked = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], "rank")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = with_targets(ranked, weight, cap).withColumn("rate", rate).withColumn("_bar", (F.col("rate") - F.floor("rate")) * F.lit(float(1 << BITS)))
-    rates = materialize(rates, "mix-rates")
+    rates = materialize(with_targets(ranked, weight, cap).withColumn("rate", rate).withColumn("_bar", bar(F.col("rate"))), "mix-rates")
     tries = (
         join_source(sizes, rates)
         .groupBy("source")
         .agg(
-            F.first("_bar").alias("_bar"),
+            F.first("rate").alias("rate"),
             F.first("source_size").alias("source_size"),
-            *[F.sum(F.when(hit(F.lit(shift(k))), F.col("size")).otherwise(0)).alias(f"_t{k}") for k in range(DRAWS)],
+            *[F.sum(F.when(hit(seed, F.lit(k)), F.col("size")).otherwise(0)).alias(f"_t{k}") for k in range(DRAWS)],
         )
     )
-    wish = F.col("_bar") / F.lit(float(1 << BITS)) * F.col("source_size")
+    wish = (F.col("rate") - F.floor("rate")) * F.col("source_size")
     best = F.least(*[F.struct(F.abs(F.col(f"_t{k}") - wish).alias("d"), F.lit(k).alias("k")) for k in range(DRAWS)])
-    shifts = F.array(*[F.lit(shift(k)) for k in range(DRAWS)])
-    chosen = tries.select(F.col("source").alias("_source"), F.element_at(shifts, best["k"] + 1).alias("_shift"))
+    chosen = tries.select(F.col("source").alias("_source"), best["k"].alias("_try"))
     return sizes, materialize(rates.join(chosen, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "mix-draws")
 
 
-def copies() -> Column:
-    return (F.floor("rate") + F.when(hit(F.col("_shift")), 1).otherwise(0)).cast("long")
+def hit(seed: int, k: Column) -> Column:
+    return draw(F.col("doc_id"), seed, k) < F.col("_bar")
+
+
+def copies(seed: int) -> Column:
+    return (F.floor("rate") + F.when(hit(seed, F.col("_try")), 1).otherwise(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 20) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, rate, copies.
 
     Sources by code point, null last, take ``weights`` in turn.  Among ``DRAWS``
-    seeded draws each source keeps the one whose copies come nearest to its
-    target (ties: the first), so small sources meet their targets as well.  Null
+    independent seeded draws each source keeps the one whose copies come nearest
+    to its target (ties: the first), so small sources meet theirs as well.  Null
     text has size 0, a null source is a source of its own, repeated ids draw
     alike, an empty table gives an empty result, and other columns are ignored.
     """
     sizes, rates = source_rates(docs, weights, cap, seed)
-    return join_source(sizes, rates).select("doc_id", "source", "size", "source_size", "target", "rate", copies().alias("copies"))
+    return join_source(sizes, rates).select("doc_id", "source", "size", "source_size", "target", "rate", copies(seed).alias("copies"))
 
 
 def emit(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 20) -> DataFrame:
@@ -104,21 +110,17 @@ def emit(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 20) -> Da
     copies follow from its id.  Extra columns of any name pass through.
     """
     _, rates = source_rates(docs, weights, cap, seed)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "source", draw(F.col("doc_id"), seed).alias("_u"))
-    out = join_source(keyed, rates).withColumn("_n", copies().cast("int")).where("_n > 0")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "source", "doc_id")
+    out = join_source(keyed, rates).withColumn("_n", copies(seed).cast("int")).where("_n > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_doc.*")
 
 
-def hit(shift_by: Column) -> Column:
-    return (F.col("_u") + shift_by) % F.lit(1 << BITS) < F.col("_bar")
-
-
 def join_source(sizes: DataFrame, rates: DataFrame, limit: int = BROADCAST_SOURCES) -> DataFrame:
     """Attaches a source's row to its documents; a hot source is never dealt to one task."""
     small, fits = bounded_broadcast(rates, limit)
     if fits:
         return sizes.join(small, sizes["source"].eqNullSafe(small["source"])).drop(small["source"])
-    salted = sizes.withColumn("_salt", (F.col("_u") % 64).cast("int"))
+    salted = sizes.withColumn("_salt", (F.monotonically_increasing_id() % 64).cast("int"))
     spread = rates.withColumnRenamed("source", "_source").withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(63))))
     on = salted["source"].eqNullSafe(spread["_source"]) & (salted["_salt"] == spread["_salt2"])
     return salted.join(spread, on).drop("_source", "_salt", "_salt2")

@@ -77,8 +77,7 @@ ORACLE_SQL = {
     "op4_licenses": licenses.scan_sql(),
     "op1_mixing": rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':20'), 1, 12))::BIGINT AS u
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk
@@ -96,19 +95,21 @@ targets AS (
   SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE (total - level.used)::DOUBLE * w / level.rest::DOUBLE END AS target
   FROM marked, level),
 rates AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         (CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END) * {float(1 << mixing.BITS)}::DOUBLE AS bar
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
   FROM targets),
+bars AS (
+  SELECT *, lower(lpad(to_hex(least(ceil((rate - floor(rate)) * {float(1 << mixing.BITS)}::DOUBLE), {(1 << mixing.BITS) - 1})::BIGINT), {mixing.BITS // 4}, '0')) AS bar FROM rates),
 joined AS (
-  SELECT s.doc_id, s.source, s.size, s.u, r.source_size, r.target, r.rate, r.bar
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source),
-draws AS (SELECT range AS k, (range * 173961102589771) % {1 << mixing.BITS} AS step FROM range({mixing.DRAWS})),
+  SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.rate, r.bar
+  FROM sized s JOIN bars r ON s.source IS NOT DISTINCT FROM r.source),
+drawn AS (
+  SELECT *, substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':20:' || k), 1, {mixing.BITS // 4}) < bar AS more
+  FROM joined, (SELECT range AS k FROM range({mixing.DRAWS}))),
 tries AS (
-  SELECT source, k, any_value(step) AS step, abs(sum(CASE WHEN (u + step) % {1 << mixing.BITS} < bar THEN size ELSE 0 END)::DOUBLE - any_value(bar) / {float(1 << mixing.BITS)}::DOUBLE * any_value(source_size)) AS d
-  FROM joined, draws GROUP BY source, k),
-chosen AS (SELECT source, step FROM tries QUALIFY row_number() OVER (PARTITION BY source ORDER BY d, k) = 1)
-SELECT j.doc_id, j.size, j.source_size, j.target,
-       j.size * (floor(j.rate)::BIGINT + CASE WHEN (j.u + c.step) % {1 << mixing.BITS} < j.bar THEN 1 ELSE 0 END) AS taken
-FROM joined j JOIN chosen c ON j.source IS NOT DISTINCT FROM c.source
+  SELECT source, k, abs(sum(CASE WHEN more THEN size ELSE 0 END)::DOUBLE - any_value(rate - floor(rate)) * any_value(source_size)) AS d
+  FROM drawn GROUP BY source, k),
+chosen AS (SELECT source, k FROM tries QUALIFY row_number() OVER (PARTITION BY source ORDER BY d, k) = 1)
+SELECT j.doc_id, j.size, j.source_size, j.target, j.size * (floor(j.rate)::BIGINT + CASE WHEN j.more THEN 1 ELSE 0 END) AS taken
+FROM drawn j JOIN chosen c ON j.source IS NOT DISTINCT FROM c.source AND j.k = c.k
 """,
 }
