@@ -3,6 +3,11 @@
 Hashed n-grams of target and raw text give two generative models; a document's
 weight is the ratio of its probabilities under both, and Gumbel top-k samples
 documents by weight.
+
+The key is the weight's logarithm less a threshold for each n-gram, in nats,
+divided by ``temperature``, plus standard Gumbel noise: at temperature 1 the
+documents are drawn without replacement in proportion to their weights.  k is
+the number of documents whose weight is over the threshold.
 """
 
 from __future__ import annotations
@@ -24,8 +29,6 @@ ORDERS = 2
 TARGET_ROWS = 20_000
 #: Share of the raw model in the target model; bounds an n-gram's penalty.
 SMOOTHING = 0.1
-#: Gumbel noise is divided by this many nats of evidence.
-SHARPNESS = 20.0
 SEED = 7
 
 
@@ -48,10 +51,12 @@ def grams(arrays: TextArrays, data: np.ndarray, off: np.ndarray) -> tuple[np.nda
 
 @dataclass
 class Resampler:
-    """Log-ratios of the n-gram buckets, the threshold per n-gram and the cut."""
+    """Log-ratios of the n-gram buckets, the threshold per n-gram, the cut, and how keys are drawn."""
 
     ratio: np.ndarray
     bar: float = 0.0
+    temperature: float = 1.0
+    seed: int = SEED
     cut: tuple[float, str] | None = None
 
     def weights(self, docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -72,9 +77,9 @@ class Resampler:
         return docs.select(*[F.col(f"`{c}`") for c in keep], "text").transform(small_batches).mapInArrow(run, f"{fields}, _grams long, _weight double")
 
     def keyed(self, weights: DataFrame) -> DataFrame:
-        """Adds the Gumbel key: evidence over the threshold plus seeded noise; no n-grams, no key."""
-        u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED)), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-        key = (F.col("_weight") - F.col("_grams") * F.lit(self.bar)) * F.lit(SHARPNESS) - F.log(-F.log(u))
+        """Adds the Gumbel key of each row; no n-grams, no key."""
+        u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(self.seed)), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+        key = (F.col("_weight") - F.col("_grams") * F.lit(self.bar)) / F.lit(self.temperature) - F.log(-F.log(u))
         return weights.withColumn("_key", F.when(F.col("_grams") > 0, key))
 
 
@@ -119,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> t
     model = Resampler(ratio)
     weighed = materialize(model.weights(docs, ["doc_id"]), "importance-weights")
     check = F.broadcast(known.where("_fold = 1 and (_good = 0 or _toxic = 0)").select("_id", "_good"))
-    rows = weighed.where("_grams > 0").join(check, F.col("doc_id").cast("string") == F.col("_id")).select("_good", F.col("_weight") / F.col("_grams"))
-    model.bar = threshold([tuple(r) for r in rows.limit(target_rows).collect()])
+    rows = weighed.where("_grams > 0").join(check, F.col("doc_id").cast("string") == F.col("_id")).select("_good", (F.col("_weight") / F.col("_grams")).alias("_mean"))
+    model.bar = threshold([tuple(r) for r in rows.orderBy(F.xxhash64("_mean"), "_good", "_mean").limit(target_rows).collect()])
     return model, model.keyed(weighed)
 
 
