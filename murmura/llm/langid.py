@@ -215,6 +215,13 @@ def predict(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Documents, with their own columns, whose language is known with at least that probability."""
-    out = identify(docs, fit(docs, train_rows), list(docs.columns))
-    return out.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents, with their own columns, whose language is known with at least that probability.
+
+    Null texts and texts without a letter go.  Columns travel under numbers, so
+    any names may come; ids may be null or repeated, and an empty table gives an
+    empty result.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    numbered = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text"))
+    out = identify(numbered, fit(docs, train_rows), names)
+    return out.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
