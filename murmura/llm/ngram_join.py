@@ -472,14 +472,17 @@ def representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One document of each component, that with the smallest id, with its own columns.
 
     Rows that repeat a kept id and are equal to it in text stay once; rows with a
-    null id stay, since nothing tells them apart.
+    null id stay, since nothing tells them apart.  Extra columns of any name
+    pass through.
     """
     named = materialize(cluster(docs, rule), "join-clustered")
+    key = F.col("_doc.doc_id").cast("long") == F.col("_id")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     gone = materialize(named.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), "join-dropped")
     small, _ = bounded_broadcast(gone, BROADCAST_IDS)
-    kept = docs.join(small, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    kept = rows.join(small, key, "left_anti")
     twice = materialize(named.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "join-twice")
-    if not twice.limit(1).count():
-        return kept
-    again = kept.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left_anti").unionByName(again)
+    if twice.limit(1).count():
+        same = kept.join(twice, key, "left_semi").withColumns({"_id": F.col("_doc.doc_id"), "_text": F.col("_doc.text")}).dropDuplicates(["_id", "_text"])
+        kept = kept.join(twice, key, "left_anti").unionByName(same.select("_doc"))
+    return kept.select("_doc.*")
