@@ -130,32 +130,41 @@ def place_blocks(blocks: list[tuple[int, int, int]], flow: dict[tuple[int, int],
     return shard
 
 
-def reshard(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, blocks: int = BLOCKS, old: Column | None = None) -> DataFrame:
+def reshard(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, blocks: int = BLOCKS, old: Column | None = None, whole: bool = False) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, old_shard, block, shard, slot.
 
     ``old`` names the rows' present shard (0 to old_shards - 1); by default a
     hash of the text, so equal texts lie together.  A block is a hash range of
     an old shard; equal texts with more bytes than half a new shard's hundredth
-    are dealt over several blocks by their ids.  Slots run from 0 in each shard,
-    by block, text checksum and id.  Null text counts as empty, null ids sort
-    first, repeated rows get slots of their own, an empty table gives an empty
-    result, and other columns are ignored.
+    are dealt over several blocks by their ids, and rows that share the id as
+    well by a number of their own.  Slots run from 0 in each shard, by block,
+    text checksum and id.  With ``whole`` each row also carries its columns, as
+    ``doc``.  Null text counts as empty, null ids sort first, repeated rows get
+    slots of their own, an empty table gives an empty result, and other columns
+    are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
     rows = docs.select(
         "doc_id", row_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_h"),
         (F.pmod(F.xxhash64(text, F.lit(1)), F.lit(old_shards)) if old is None else old).cast("int").alias("old_shard"),
+        F.monotonically_increasing_id().alias("_row"), *own,
     )
     rows = materialize(rows, "reshard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     piece = max(1, total // (new_shards * 200))
-    # fewer than new_shards * 200 texts can have more bytes than a piece
-    hot = rows.groupBy("_h").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > piece)
-    hot, _ = bounded_broadcast(materialize(hot.select("_h", F.least(F.ceil(F.col("_bytes") / piece), F.lit(blocks)).alias("_pieces")), "reshard-hot"), new_shards * 200)
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_pieces")), F.lit(0))
+    # fewer than new_shards * 200 texts, or texts of one id, can have more bytes than a piece
+    hot = materialize(rows.groupBy("_h").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > piece), "reshard-hot")
+    hot, _ = bounded_broadcast(hot.select("_h", F.least(F.ceil(F.col("_bytes") / piece), F.lit(blocks)).alias("_pieces")), new_shards * 200)
+    rows = rows.join(hot, "_h", "left")
+    again = rows.where("_pieces is not null").groupBy("_h", F.col("doc_id").alias("_id")).agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > piece)
+    again, _ = bounded_broadcast(materialize(again.select(F.col("_h").alias("_h2"), "_id", F.lit(True).alias("_again")), "reshard-again"), new_shards * 200)
+    rows = rows.join(again, (F.col("_h") == F.col("_h2")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.when(F.col("_again"), F.col("_row")).otherwise(0)), F.col("_pieces")), F.lit(0))
     block = F.pmod(F.xxhash64("_h", part), F.lit(blocks)) + F.col("old_shard") * blocks
-    rows = materialize(rows.join(hot, "_h", "left").select("doc_id", "size", "text_crc32", "old_shard", block.cast("int").alias("block")), "reshard-blocks")
+    carried = ["doc"] if whole else []
+    rows = materialize(rows.select("doc_id", "size", "text_crc32", "old_shard", block.cast("int").alias("block"), *carried), "reshard-blocks")
     found = [tuple(r) for r in rows.groupBy("block", "old_shard").agg(F.sum("size"), F.count("*")).orderBy("block").collect()]
     supply = [0] * old_shards
     for _, i, size, _ in found:
@@ -170,7 +179,7 @@ def reshard(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW
     placed = rows.join(F.broadcast(spark.createDataFrame(plan, plan_type)), "block")
     inside = Window.partitionBy("block").orderBy("text_crc32", "doc_id", "size")
     slot = F.row_number().over(inside).cast("long") - 1 + F.col("_start")
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", slot.alias("slot"))
+    return placed.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", slot.alias("slot"), *carried)
 
 
 def affected(placed: DataFrame) -> list[int]:
@@ -179,24 +188,26 @@ def affected(placed: DataFrame) -> list[int]:
     return sorted(r[0] for r in moved.collect())
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the affected shards of ``docs`` below ``path``, as ``shard=N`` folders.
+def rewrite(docs: DataFrame, path: str, old_shards: int, new_shards: int, blocks: int = BLOCKS, old: str = "shard") -> list[int]:
+    """Reshards the table of ``shard=N`` folders below ``path``, which ``docs`` reads; returns the affected shards.
 
-    Other folders stay as they are.  Ids must be unique here.  Returns the
-    affected shards; one that is left empty loses its folder.
+    The column ``old`` names each row's present shard.  Only shards that gain or
+    lose blocks are written again, other folders stay as they are; a shard that
+    is left empty loses its folder.  Rows carry their own place from end to end,
+    so ids may be null or repeated, and no row is lost or doubled.  Files hold
+    all other columns of ``docs``, whatever their names.
     """
     spark = docs.sparkSession
+    placed = materialize(reshard(docs, old_shards, new_shards, blocks, F.col(f"`{old}`"), whole=True), "reshard-files")
     changed = affected(placed)
     if not changed:
         return changed
-    where = placed.where(F.col("shard").isin(changed)).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    out = docs.select(*[F.col(f"`{c}`") for c in keep]).join(where, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    out = materialize(out, "reshard-files")
-    out.repartition("shard", F.floor(F.col("slot") / 1_000_000)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    filled = {r[0] for r in out.select("shard").distinct().collect()}
+    keep = [F.col(f"doc.`{c}`") for c in docs.columns if c != old]
+    out = placed.where(F.col("shard").isin(changed)).repartition("shard", F.floor(F.col("slot") / 1_000_000))
+    out.select(*keep, F.col("shard").alias(old)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(old).parquet(path)
+    filled = {r[0] for r in placed.select("shard").distinct().collect()}  # one row for each shard
     jvm = spark.sparkContext._jvm
     for s in set(changed) - filled:
-        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{old}={s}")
         gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return changed
