@@ -24,6 +24,8 @@ QUERY_ROWS = 2048
 LEAF_ROWS = 128
 #: Room for rounding in a pruning test; it only makes the search visit more.
 SLACK = 1e-9
+#: Digits of a cosine in a tree; beyond them lies rounding.
+DIGITS = 12
 
 
 class Tree:
@@ -76,7 +78,9 @@ class Tree:
         """The best k ids and cosines of each unit query, its own id left out.
 
         All queries go down together; each visits its near side first.  Missing
-        places have the cosine -inf.  Ties go to the smaller id.
+        places have the cosine -inf.  Cosines are rounded to ``DIGITS``, so that
+        equal vectors tie whatever a product's rounding, and ties go to the
+        smaller id.
         """
         best = np.full((len(queries), k), -np.inf)
         found = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -87,7 +91,7 @@ class Tree:
             if level == self.levels:
                 a, b = self.spans[node - ((1 << level) - 1)]
                 if b > a:
-                    cos = queries[who] @ self.unit[a:b].T
+                    cos = np.round(queries[who] @ self.unit[a:b].T, DIGITS)
                     cos[own[who][:, None] == self.ids[None, a:b]] = -np.inf
                     ids = np.where(np.isneginf(cos), np.iinfo(np.int64).max, self.ids[None, a:b])
                     best[who], found[who] = top_k(np.hstack([best[who], cos]), np.hstack([found[who], ids]), k)
@@ -156,8 +160,10 @@ def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int, factor: float, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, vec_id and cosine of the k best rows that the trees give for each query.
 
-    Queries are packed into blocks; each block meets each tree of its length
-    once, one pair at a time in memory.
+    Queries are packed into blocks, and every block goes to every shard of its
+    length.  A task reads a shard's tree once and then its blocks one by one, so
+    it holds one tree and one block, and a tree travels once whatever the number
+    of blocks.
     """
     n = queries.count()
     blocks = max(1, -(-n // query_rows))
@@ -165,34 +171,40 @@ def search(index: DataFrame, queries: DataFrame, k: int, factor: float, query_ro
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
         np.savez(out, ids=pdf["vec_id"].to_numpy(np.int64), unit=unit_rows(pdf["_v"]))
-        return pd.DataFrame({"_dim": [int(pdf["_dim"].iloc[0])], "_block": [int(pdf["_block"].iloc[0])], "packed": [out.getvalue()]})
+        return pd.DataFrame({"dim": [int(pdf["_dim"].iloc[0])], "part": [int(pdf["_block"].iloc[0])], "body": [out.getvalue()]})
 
     packed = (
         queries.withColumn("_dim", F.size("_v"))
         .withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
         .groupBy("_dim", "_block")
-        .applyInPandas(pack, "_dim int, _block int, packed binary")
+        .applyInPandas(pack, "dim int, part int, body binary")
     )
-    counts = index.groupBy("dim").agg(F.max("shard").alias("_last"))
-    pairs = packed.join(counts, F.col("_dim") == F.col("dim")).drop("dim").withColumn("_shard", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    pairs = pairs.join(index, (F.col("_dim") == F.col("dim")) & (F.col("_shard") == F.col("shard"))).select("packed", "tree")
+    shards = index.groupBy("dim").agg(F.max("shard").alias("_last"))  # one row for each length
+    sent = packed.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    # a shard's tree comes before its blocks
+    rows = index.select("dim", "shard", F.lit(-1).alias("part"), F.col("tree").alias("body")).unionByName(sent.select("dim", "shard", "part", "body"))
+    places = max(1, index.count())
+    rows = rows.repartition(min(places, 4096), "dim", "shard").sortWithinPartitions("dim", "shard", "part")
 
     def run(batches):
+        tree = None
         for b in batches:
-            for packed_row, raw in zip(b.column(0), b.column(1), strict=True):
-                tree = Tree.load(raw.as_py())
-                with np.load(io.BytesIO(packed_row.as_py())) as z:
+            for part, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if part < 0:
+                    tree = Tree.load(body.as_py())
+                    continue
+                with np.load(io.BytesIO(body.as_py())) as z:
                     ids, unit = z["ids"], z["unit"]
                 found, best = tree.search(unit, ids, k, factor)
                 keep = np.isfinite(best)
                 yield pa.record_batch([pa.array(np.repeat(ids, k)[keep.ravel()]), pa.array(found[keep]), pa.array(best[keep])], ["query_id", "vec_id", "near"])
 
-    got = pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism)).transform(small_batches).mapInArrow(run, "query_id long, vec_id long, near double")
+    got = rows.select("part", "body").transform(small_batches).mapInArrow(run, "query_id long, vec_id long, near double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
     return got.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 0.2, spare: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 0.2, spare: int = 3, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the k best for each row whose id ``every`` divides.
 
     A query's own row (and rows that share its id) is no candidate.  The trees
@@ -205,7 +217,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 0.2
     rows = usable(vectors).groupBy("vec_id").agg(F.min("_v").alias("_v"))
     rows = materialize(rows, "vantage-rows")
     queries = rows.where(F.col("vec_id") % every == 0)
-    found = search(build(rows, shard_rows), queries, k + spare, factor)
+    found = search(build(rows, shard_rows), queries, k + spare, factor, query_rows)
     pairs = found.join(queries.select(F.col("vec_id").alias("query_id"), F.col("_v").alias("_q")), "query_id").join(rows, "vec_id").select("query_id", "vec_id", "_q", "_v")
 
     def exact(batches):
