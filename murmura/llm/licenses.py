@@ -27,8 +27,9 @@ STEPS = [
     (r"([0-9])\.0([^0-9.]|$)", "$1$2"),
     (r"[^\p{L}\p{N}]+", " "),
 ]
-#: Lines that the SQL looks up; ``scan`` looks up every line.
-MARK = r"licen[cs]|spdx"
+
+#: Known texts, at most.
+MOST_KNOWN = 10_000
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -68,6 +69,18 @@ TEXTS = [
     ("Apache-2.0", APACHE_NOTICE),
 ]
 
+# Digests of whole licences in their official wording and line breaks (``digest`` of the published plain text).
+WHOLE = [
+    ("Apache-2.0", "818596045fefc293ff99c1473fa62c6b7aeacd6427c201796adddf738457abd5"),
+    ("CC0-1.0", "799ae186d902017b1dfb6c9496f02c4a1473be6430f0dd77208088fd74ff23d4"),
+    ("GFDL-1.3-only", "f689383640198ef813444a795ca6f7532a66111abc3230a6b4cc5558de47e355"),
+    ("GPL-2.0-only", "c02cd12db8d74827483eabb87bd82fba71d3f148d08b28086b001e356bd71dfc"),
+    ("GPL-3.0-only", "f57df2a6e9f3aa519d90e6845aaaeab821b8accb3e24d8f00c21722a39e9135f"),
+    ("LGPL-2.1-only", "4d0460616090cd093be1cb9e0c451733f5a1177a23adb5201195789ee9440d7c"),
+    ("LGPL-3.0-only", "b9d017245d5b6307f6fc2b6dc02be9744eb7e632f313cf7b809a2cd3996db0f6"),
+    ("MPL-2.0", "b4bfc44b0418bb0cc5ff258710417a766aba39995650e1f0437a70e9e1f39b10"),
+]
+
 NAMES = [
     ("Apache-2.0", "the Apache License, Version 2.0"), ("Apache-2.0", "the Apache License 2.0"), ("Apache-2.0", "Apache-2.0"),
     ("MIT", "the MIT License"), ("MIT", "MIT"), ("ISC", "the ISC License"),
@@ -100,10 +113,17 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
-    """``(digest, SPDX id)`` of the known texts, one for each digest; all are far below a megabyte."""
-    table = spark.createDataFrame(known if known is not None else known_texts(), "license_id string, text string")
-    rows = table.select(digest(F.col("text")).alias("d"), "license_id").groupBy("d").agg(F.min("license_id").alias("license_id"))
-    return [tuple(r) for r in rows.orderBy("d").collect()]
+    """``(digest, SPDX id)`` of the known texts, one for each digest.
+
+    ``known`` are the caller's texts instead of those here, ``MOST_KNOWN`` at most:
+    the digests travel with the plan.
+    """
+    texts, whole = (known_texts(), [(d, spdx) for spdx, d in WHOLE]) if known is None else (known, [])
+    if len(texts) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known texts")
+    table = spark.createDataFrame(texts, "license_id string, text string")
+    rows = table.select(digest(F.col("text")).alias("d"), "license_id").union(spark.createDataFrame(whole, "d string, license_id string"))
+    return [tuple(r) for r in rows.groupBy("d").agg(F.min("license_id").alias("license_id")).orderBy("d").collect()]
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -140,15 +160,18 @@ def canonical_sql(text: str) -> str:
 def scan_sql() -> str:
     """``scan`` over ``documents`` in DuckDB's SQL."""
     known = ",\n".join("('" + spdx + "', '" + text.replace("'", "''") + "')" for spdx, text in known_texts())
+    whole = ", ".join(f"('{spdx}', '{d}')" for spdx, d in WHOLE)
     return f"""
 WITH known(license_id, text) AS (VALUES {known}),
-digests AS (SELECT sha256({canonical_sql("text")}) AS d, min(license_id) AS license_id FROM known GROUP BY 1),
+whole(license_id, d) AS (VALUES {whole}),
+every AS (SELECT sha256({canonical_sql("text")}) AS d, license_id FROM known UNION ALL SELECT d, license_id FROM whole),
+digests AS (SELECT d, min(license_id) AS license_id FROM every GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({canonical_sql("text")}) AS text_digest FROM documents),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
 hits AS (
   SELECT r, list_sort(list_distinct(list(d.license_id))) AS ids, count(*) AS n
   FROM lines JOIN digests d ON d.d = sha256({canonical_sql("line")})
-  WHERE regexp_matches(lower(line), '{MARK}') GROUP BY r)
+  GROUP BY r)
 SELECT doc_id, text_digest, d.license_id, coalesce(h.ids, []::VARCHAR[]) AS line_licenses, coalesce(h.n, 0)::BIGINT AS n_license_lines
 FROM docs LEFT JOIN digests d ON d.d = text_digest LEFT JOIN hits h USING (r)
 """
