@@ -9,6 +9,7 @@ regional letters.  Only lookalikes of other scripts are listed.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,17 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from murmura.functions.lookalikes import AFTER, letters, more
+
 # ASCII signs and digits that stand for letters.
 SIGNS = {"'": None, "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "*": "a", ":": "i"}
-#: Letters that look like Latin ones, by script: the letter and what it stands for.
-LOOKALIKES = {
-    "cyrillic": "аa вb еe ёe зz кk мm нh оo рp сc тt уy хx ъb ьb іi јj ѕs ԁd ԛq ԝw һh үy єe",
-    "greek": "αa βb εe γy ιi κk νv οo ρp τt υu χx ωw ηn σo ςs",
-    "armenian": "աa ոn սu ցg օo հh յj",
-    "phonetic": "ɑa ʙb ᴄc ᴅd ɛe ɢg ʜh ɪi ɨi ᴊj ᴋk ʟl łl ᴍm ɴn ɳn ᴏo ᴘp ʀr ᴛt ᴜu ᴠv ᴡw ʏy ᴢz ʌv",
-    "cherokee": "Ꭺa Ᏼb Ꮯc Ꭰd Ꭼe Ꮆg Ꮋh Ꭻj Ꮶk Ꮮl Ꮇm Ꮲp Ꮪs Ꭲt Ꮩv Ꮤw Ꮓz",
-    "signs": "₦n ₲g ₵c €e £l ¥y ₩w ¡i ǥg øo đd ħh ŧt",
-}
 ZERO_WIDTH = {0x200B, 0x200C, 0x200D, 0xFEFF}
 
 
@@ -35,7 +29,8 @@ class Table(dict):
 
     def __init__(self):
         super().__init__()
-        self.alike = {pair[0]: pair[1] for line in LOOKALIKES.values() for pair in line.split()}
+        self.before = more() | letters()
+        self.after = more() | AFTER
         self.signs = dict(SIGNS)
 
     def __missing__(self, code: int):
@@ -48,22 +43,20 @@ class Table(dict):
         for first in (0x1F1E6, 0x1F130, 0x1F150, 0x1F170, 0x1F110):  # regional, squared, negative and parenthesised letters
             if first <= code < first + 26:
                 return chr(97 + code - first)
-        plain = unicodedata.normalize("NFKD", self._alike(chr(code)))
+        plain = unicodedata.normalize("NFKD", self.before.get(chr(code), chr(code)))
         if code > 0xFFFF and not any(c.isascii() and c.isalnum() for c in plain):
             return None  # what lies beyond the basic plane and isn't a letter form goes
         out = []
         for c in plain:
             if unicodedata.category(c).startswith("M"):
                 continue
-            for d in self._alike(c).lower():
+            for d in self.after.get(c, c).lower():
+                d = self.after.get(d, d)
                 d = self.signs.get(d, d)
                 if d is not None and not unicodedata.category(d).startswith("M"):
                     out.append(d)
         return "".join(out) or None
 
-    def _alike(self, c: str) -> str:
-        return self.alike.get(c, self.alike.get(c.lower(), c))
-
 
 def normalizer():
     """A function of one text for use within a task."""
@@ -79,8 +72,10 @@ def normalizer():
 
 
 @pandas_udf(T.StringType())
-def _normalize(texts: pd.Series) -> pd.Series:
-    return texts.map(normalizer())
+def _normalize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    run = normalizer()  # one table for all batches of a task
+    for texts in batches:
+        yield texts.map(run)
 
 
 def normalize(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,19 +80,23 @@ def sampled(df: DataFrame, keys: list[str], order: list[str], width: int = C.GRA
     return rows.where(F.col("position") % step == 0).drop("_n")
 
 
+# The captions, rules and signs of the printed graph.
+GRAPH_TITLE = "Heat  │"
+GRAPH_MARGIN = "      │"
+GRAPH_CORNER = "      └"
+GRAPH_RULE = "─"
+GRAPH_DOT = "●"
+GRAPH_AXIS = "       0{last:>{width}} (Message #)"
+
+
 def line_graph(values: list[float], rows: int = C.GRAPH_ROWS) -> str:
-    """A text graph of at most 199 sampled values."""
-    if not values:
+    """A text graph: a column for each value, a dot at its share of the largest, every fifth of the rows labelled."""
+    v = np.asarray(values, float)
+    if not len(v):
         return ""
-    top = max(values)
-    cells = [[" "] * len(values) for _ in range(rows)]
-    for i, v in enumerate(values):
-        share = v / top if top > 0 else 0.0
-        cells[max(0, min(rows - 1, int((1 - share) * (rows - 1))))][i] = "●"
-    out = ["Heat  │"]
-    for i, row in enumerate(cells):
-        label = f"{top * (1 - i / rows):5.2f} │" if i % max(1, rows // 5) == 0 else "      │"
-        out.append(label + "".join(row))
-    out.append("      └" + "─" * len(values))
-    out.append("       0" + str(len(values) - 1).rjust(max(1, len(values) - 2)) + " (Message #)")
-    return "\n".join(out)
+    top = v.max()
+    depth = np.clip((1 - (v / top if top > 0 else v * 0)) * (rows - 1), 0, rows - 1).astype(int)
+    labels = {row: f"{top * (1 - row / rows):5.2f} │" for row in range(0, rows, max(1, rows // 5))}
+    picture = [labels.get(row, GRAPH_MARGIN) + "".join(np.where(depth == row, GRAPH_DOT, " ")) for row in range(rows)]
+    axis = GRAPH_AXIS.format(last=len(v) - 1, width=max(1, len(v) - 2))
+    return "\n".join([GRAPH_TITLE, *picture, GRAPH_CORNER + GRAPH_RULE * len(v), axis])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from murmura import constants as C
 from murmura.functions import patterns, scores
+from murmura.functions.lookalikes import AFTER, letters
 from murmura.functions.normalize import normalize, normalize_ascii, normalizer
 from murmura.operators import archive, context, detect, folds, moderation, monitor, stats
 from murmura.plans import sql as Q
@@ -128,7 +129,7 @@ def unicode_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOOKALIKES = [
     (1, "𝗕𝗮𝗱 𝕎𝕠𝕣𝕕", "bad word"), (2, "🇧🇦🇩", "bad"), (3, "ⓑⓐⓓ", "bad"), (4, "Wörd's", "words"), (5, "h3ll0", "hello"), (6, "a​b", "ab"),
-    (7, "ｆｕｌｌ", "full"), (8, "ﬁx", "fix"), (9, "вад", "baд"), (10, "💀ok😭", "ok"), (11, "𝚀𝚉", "qz"), (12, "ñandú", "nandu"),
+    (7, "ｆｕｌｌ", "full"), (8, "ﬁx", "fix"), (9, "вад", "baa"), (10, "💀ok😭", "ok"), (11, "𝚀𝚉", "qz"), (12, "ñandú", "nandu"),
 ]
 
 
@@ -138,6 +139,20 @@ def unicode_lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", normalize(F.col("text")).alias("norm"))
 
 
+def letter_rules() -> list[tuple[int, str, str]]:
+    """Code point, letter and replacement of every listed letter, and of every form that Unicode data give."""
+    rules = AFTER | letters()
+    for first in (0x1F1E6, 0x1F110, 0x1F170, 0x1D41A, 0x1D482, 0x1D4EA, 0x1D5BA, 0x1D5EE, 0x1D622, 0x1D656, 0x1D68A, 0x1D670, 0x24D0):
+        rules |= {chr(first + i): chr(97 + i) for i in range(26)}
+    return [(ord(c), c, by) for c, by in sorted(rules.items())]
+
+
+@query(f"SELECT code, by FROM {sql_values([(n, by) for n, _, by in letter_rules()], 'code, by')}")
+def unicode_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, [(n, c) for n, c, _ in letter_rules()], "code int, letter string")
+    return rows.select("code", normalize(F.col("letter")).alias("by"))
+
+
 MARKED = [
     (1, "**bold** and __also__"), (2, "*it* _al_"), (3, "~~gone~~ ||hidden||"), (4, "a ```code\nblock``` b `c`"), (5, "# Head"), (6, "> quote"),
     (7, "[text](http://x.y)"), (8, "plain * star"), (9, ""), (10, "x\n# not first"), (11, "**a\nb**"),
