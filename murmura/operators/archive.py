@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from murmura import constants as C
 from murmura.functions.scores import archive_debate_score
+from murmura.operators.ranks import numbered
+from murmura.scratch import materialize
 
 
 def newest(messages: DataFrame, limit: int = C.ARCHIVE_LIMIT) -> DataFrame:
@@ -51,25 +53,24 @@ def removed_samples(scored: DataFrame, order: str, n: int = 10) -> DataFrame:
     return scored.where("not kept").orderBy(order).limit(n)
 
 
-def quartile(sorted_values: Column, q: float) -> Column:
-    """The value at rank ``floor(q * (n - 1))``, without interpolation."""
-    return F.element_at(sorted_values, F.floor((F.size(sorted_values) - 1) * q).cast("int") + 1)
-
-
-def lower_rank(df: DataFrame, value: str, q: float, keys: list[str]) -> DataFrame:
-    """``quartile`` per key without gathering a key's values: ranks come from a sort."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") == F.floor((F.col("_n") - 1) * q)).select(*keys, F.col(value).alias("rank_value"))
-
-
 def order_statistics(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Count, mean, median, population deviation, quartiles, range between them and maximum per key."""
+    """Count, mean, median, population deviation, quartiles, range between them and maximum per key.
+
+    A quartile is the value at rank ``floor(q * (n - 1))``, without
+    interpolation.  All values are ranked once, by ranges: a key may have any
+    number of values, and equal ones are split as well.
+    """
     v = F.col(value)
-    figures = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("deviation"), F.greatest(F.lit(0.0), F.max(v)).alias("maximum"))
-    low = lower_rank(df, value, 0.25, keys).withColumnRenamed("rank_value", "q1")
-    high = lower_rank(df, value, 0.75, keys).withColumnRenamed("rank_value", "q3")
-    return figures.join(low, keys).join(high, keys).withColumn("iqr", F.col("q3") - F.col("q1"))
+    figures = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"), F.greatest(F.lit(0.0), F.max(v)).alias("maximum"))
+    rows = df.where(v.isNotNull()).select(*keys, v.alias("_v")).withColumn("_tie", F.monotonically_increasing_id())
+    ranked = materialize(numbered(rows, [*[F.col(k) for k in keys], F.col("_v"), F.col("_tie")], "_r").drop("_tie"), "ranked")
+    spans = ranked.groupBy(*keys).agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))
+    last = F.col("_n") - 1
+    wanted = {"q1": F.floor(last * 0.25), "low": F.floor(last / 2), "high": F.ceil(last / 2), "q3": F.floor(last * 0.75)}
+    places = spans.select(F.explode(F.array(*[F.struct(F.lit(k).alias("_which"), (F.col("_first") + at).alias("_r")) for k, at in wanted.items()])).alias("_p")).select("_p.*")
+    found = ranked.join(places, "_r").groupBy(*keys).agg(*[F.max(F.when(F.col("_which") == k, F.col("_v"))).alias(k) for k in wanted])
+    found = found.withColumn("median", (F.col("low") + F.col("high")) / 2).drop("low", "high")
+    return figures.join(found, keys).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def sampled(df: DataFrame, keys: list[str], order: list[str], width: int = C.GRAPH_COLUMNS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmura import constants as C
 from murmura.functions.scores import context_depth, strip_markdown, u16_len
-from murmura.operators.detect import spellings
+from murmura.operators.detect import server_spellings
 
 ORDER = ["ts", "message_id"]
 
@@ -59,10 +59,11 @@ def packed(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
-def collaborative(messages: DataFrame, rows: list[tuple[str, str, int]], norm: str = "packed_norm") -> DataFrame:
+def collaborative(messages: DataFrame, patterns: DataFrame, norm: str = "packed_norm") -> DataFrame:
     """Messages that complete a word spelled by several authors.
 
-    ``norm`` is the normalised packed text of each message.  The newest messages
+    ``patterns`` is the table of ``detect.patterns_table``; ``norm`` is the
+    normalised packed text of each message.  The newest messages
     are joined with spaces; the first pattern counts whose match first occurs across at
     least three messages of at least two authors.  Adds ``spelling``,
     ``involved_messages`` and ``involved_authors``.
@@ -72,12 +73,12 @@ def collaborative(messages: DataFrame, rows: list[tuple[str, str, int]], norm: s
     depth = context_depth(u16_len(F.col("plain")))
     now = F.struct("message_id", "author_id", "content", "plain", norm)
     told = F.filter(last(F.col("history"), depth), lambda h: h["plain"] != "")
-    out = wide.where(gated).withColumn("_all", F.concat(told, F.array(now)))
+    out = wide.where(gated).join(F.broadcast(patterns), "server_id").withColumn("_all", F.concat(told, F.array(now)))
     # no separator stands before the first text that isn't empty
     skip = F.aggregate("_all", F.struct(F.lit(0).alias("n"), F.lit(False).alias("done")), lambda s, h: F.struct((s["n"] + F.when(s["done"] | (h[norm] != ""), 0).otherwise(1)).alias("n"), (s["done"] | (h[norm] != "")).alias("done")), lambda s: s["n"])
     out = out.withColumn("_all", F.slice("_all", skip + 1, F.size("_all")))
     out = out.withColumn("_joined", F.array_join(F.transform("_all", lambda h: h[norm]), " "))
-    out = out.select("*", F.posexplode(spellings(F.col("_joined"), rows)).alias("_nth", "spelling"))
+    out = out.select("*", F.posexplode(server_spellings("_joined")).alias("_nth", "spelling")).drop("some", "patterns")
     start = F.expr("locate(spelling, _joined) - 1")
     out = out.withColumn("_from", start).withColumn("_to", F.col("_from") + F.length("spelling"))
     before = lambda i: F.when(i == 0, 0).otherwise(F.length(F.array_join(F.transform(F.slice("_all", 1, i), lambda h: h[norm]), " ")) + 1)

@@ -11,6 +11,10 @@ from murmura.functions.normalize import normalizer
 from murmura.functions.scores import let, suspicious_encoding
 
 
+#: Configured servers, at most: their patterns and settings travel to every task.
+MOST_SERVERS = 100_000
+
+
 def keyword_hits(norm: Column, words: list[str], kind: str) -> Column:
     """Array of keywords found in normalised text, one entry for each occurrence.
 
@@ -79,23 +83,30 @@ def first_match(norm: Column, rows: list[tuple[str, str, int]]) -> Column:
     return F.when(some, each)
 
 
-def spellings(norm: Column, rows: list[tuple[str, str, int]]) -> Column:
-    """The first matched spelling of every pattern that occurs, in configured order."""
-    each = [F.when(norm.rlike(regex), F.regexp_extract(norm, regex, 0)) for regex, _, _ in sorted(rows, key=lambda r: r[2])]
-    return F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
-
-
 def patterns_table(spark, configs: DataFrame) -> DataFrame:
-    """One row per server: ``some``, an alternation of all its patterns, and ``patterns`` in configured order."""
+    """One row per server: ``some``, an alternation of all its patterns, and ``patterns`` in configured order.
+
+    The table is broadcast; it has ``MOST_SERVERS`` rows at most.
+    """
     normalize = normalizer()
     rows = []
-    for r in configs.select("id", "config.banned_words").collect():  # one row per configured server
+    servers = configs.select("id", "config.banned_words").limit(MOST_SERVERS + 1).collect()
+    if len(servers) > MOST_SERVERS:
+        raise ValueError(f"more than {MOST_SERVERS} configured servers")
+    for r in servers:
         found = sorted(P.pattern_rows([w for w in r["banned_words"] or [] if w], normalize), key=lambda p: p[2])
         if found:
             rows.append((r["id"], P.any_of([p[0] for p in found]), [(p[0], p[1]) for p in found]))
     return spark.createDataFrame(rows, "server_id string, some string, patterns array<struct<regex: string, word: string>>")
 
 
+def server_spellings(norm: str) -> Column:
+    """The first matched spelling of every one of a row's ``patterns`` that the text holds, in configured order."""
+    t = F.col(norm)
+    held = F.filter("patterns", lambda p: F.rlike(t, p["regex"]))
+    return F.when(F.expr(f"{norm} rlike some"), F.transform(held, lambda p: F.regexp_substr(t, p["regex"])))
+
+
 def server_match(norm: str) -> Column:
     """``(spelling, word)`` of the first of a row's ``patterns`` that the text holds, or null.
 

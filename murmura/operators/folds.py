@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,8 +82,25 @@ def final_average(df: DataFrame, keys: list[str], order: list[str], heat: str =
     return folded.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def thinned(times: Column, cooldown: int) -> Column:
-    """Of a sorted array of seconds, those that are ``cooldown`` after the last one kept."""
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("bigint").alias("last"))
-    step = lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= cooldown), F.struct(F.concat(s["kept"], F.array(t)).alias("kept"), t.alias("last"))).otherwise(s)
-    return F.aggregate(times, start, step, lambda s: s["kept"])
+def thinned(df: DataFrame, keys: list[str], order: list[str], cooldown: int, ts: str = "ts") -> DataFrame:
+    """The rows that are ``cooldown`` seconds or more after the last one kept of their key; the first stays.
+
+    One number of state for each key, however many rows it has.  Rows without a
+    time go.
+    """
+
+    def run(batches):
+        key, last = None, None
+        for pdf in batches:
+            kept = []
+            for here, second in zip(pdf[keys].itertuples(index=False, name=None), pdf["_s"].tolist(), strict=True):
+                here = tuple(None if pd.isna(x) else x for x in here)
+                if here != key:
+                    key, last = here, None
+                kept.append(last is None or second - last >= cooldown)
+                if kept[-1]:
+                    last = second
+            yield pdf[np.array(kept, bool)].drop(columns="_s")
+
+    timed = df.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp"))).where("_s is not null")
+    return timed.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)

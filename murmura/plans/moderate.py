@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmura.functions import scores
 from murmura.functions.normalize import normalize
 from murmura.operators import context, detect, folds, moderation, stats
-from murmura.scratch import materialize
+from murmura.scratch import bounded_broadcast, materialize
 from murmura.sources.files import image_urls, setting
 
 MEMBER = ["server_id", "author_id"]
@@ -24,7 +24,8 @@ def admitted(rows: DataFrame) -> DataFrame:
 def with_settings(rows: DataFrame, configs: DataFrame) -> DataFrame:
     """Rows of configured servers with their settings."""
     flat = configs.select(F.col("id").alias("server_id"), "config.warning_channel_id", "config.alert_channel_id", *[setting(s).alias(s) for s in SETTINGS])
-    return rows.join(F.broadcast(flat), "server_id")
+    few, _ = bounded_broadcast(flat, detect.MOST_SERVERS)
+    return rows.join(few, "server_id")
 
 
 def detections(messages: DataFrame, configs: DataFrame, diet: bool = False) -> DataFrame:
@@ -33,10 +34,14 @@ def detections(messages: DataFrame, configs: DataFrame, diet: bool = False) -> D
     Windows cover all rows of a channel, bots and webhooks too, before anything
     is filtered.  ``diet`` looks at the message itself only.
     """
-    spark = messages.sparkSession
     plain = messages.withColumn("plain", scores.strip_markdown(F.col("content")))
     rows = plain.withColumns({"gated": F.lit(False), "context": F.col("plain")}) if diet else context.with_context(messages).drop("history", "depth")
-    rows = with_settings(admitted(rows), configs).join(F.broadcast(detect.patterns_table(spark, configs)), "server_id")
+    return phases(rows, configs, [x for x in messages.columns if x != "attachments"])
+
+
+def phases(rows: DataFrame, configs: DataFrame, keep: list[str]) -> DataFrame:
+    """``detections`` of rows that carry ``plain``, ``gated`` and ``context``, from a table or a stream; with the columns of ``keep``."""
+    rows = with_settings(admitted(rows), configs).join(F.broadcast(detect.patterns_table(rows.sparkSession, configs)), "server_id")
     rows = rows.withColumns({"_a": normalize(F.col("plain")), "_b": normalize(F.col("context")), "_c": normalize(context.packed(F.col("context")))})
     longer = F.col("gated") & (scores.u16_len(F.col("context")) > scores.u16_len(F.col("plain")))
     a, b, c = detect.server_match("_a"), F.when(longer & F.col("delete_filtered_messages"), detect.server_match("_b")), F.when(longer, detect.server_match("_c"))
@@ -45,7 +50,7 @@ def detections(messages: DataFrame, configs: DataFrame, diet: bool = False) -> D
     phase = F.when(F.col("_fa").isNotNull(), "message").when(F.col("_fb").isNotNull(), "context").otherwise("packed")
     # the context phase reports the whole context, the others the message
     shown = F.when(phase == "context", F.col("context")).otherwise(F.col("plain"))
-    return found.select(*[x for x in messages.columns if x != "attachments"], phase.alias("phase"), hit["word"].alias("word"), hit["spelling"].alias("spelling"), shown.alias("shown"), "warning_channel_id", *SETTINGS)
+    return found.select(*keep, phase.alias("phase"), hit["word"].alias("word"), hit["spelling"].alias("spelling"), shown.alias("shown"), "warning_channel_id", *SETTINGS)
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -56,21 +61,9 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def collaborations(messages: DataFrame, configs: DataFrame) -> DataFrame:
-    """Messages that complete a word several authors spell, server by server.
-
-    Servers with a word list are few; each contributes a branch of one plan.
-    """
-    from murmura.functions import patterns as P
-    from murmura.functions.normalize import normalizer
-
+    """Messages that complete a word several authors spell, by each server's patterns."""
     rows = materialize(messages.withColumn("packed_norm", normalize(context.packed(scores.strip_markdown(F.col("content"))))).drop("attachments"), "packed")
-    out = None
-    for r in configs.select("id", "config.banned_words").collect():
-        words = P.pattern_rows([w for w in r["banned_words"] or [] if w], normalizer())
-        if words:
-            part = context.collaborative(rows.where(F.col("server_id") == r["id"]), words)
-            out = part if out is None else out.unionByName(part)
-    return out if out is not None else context.collaborative(rows.where("false"), [])
+    return context.collaborative(rows, detect.patterns_table(messages.sparkSession, configs))
 
 
 def scored(messages: DataFrame, hot: dict[str, float], safe: dict[str, float]) -> DataFrame:

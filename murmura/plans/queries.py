@@ -323,8 +323,8 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     return c.select(
-        F.lit("s").alias("server_id"), F.col("conv_id").cast("string").alias("channel_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
-        F.timestamp_seconds("turn").alias("ts"), F.col("role").alias("author_id"), F.col("text").alias("content"), F.lag(F.col("conv_id") * 1000 + F.col("turn")).over(w).alias("reply_to_message_id"),
+        F.lit("s").alias("server_id"), F.col("conv_id").cast("string").alias("channel_id"), (F.col("conv_id") * 1048576 + F.col("turn")).alias("message_id"),
+        F.timestamp_seconds("turn").alias("ts"), F.col("role").alias("author_id"), F.col("text").alias("content"), F.lag(F.col("conv_id") * 1048576 + F.col("turn")).over(w).alias("reply_to_message_id"),
     )
 
 
@@ -360,18 +360,19 @@ SELECT * FROM (VALUES (205::BIGINT, 'm o r o n', 5, ['u1', 'u2', 'u3']), (206, '
   (303, 'lo s er', 3, ['u5', 'u6']), (305, 'lo s er', 3, ['u5', 'u6']), (306, 'lo s er', 3, ['u5', 'u6']), (307, 'lo s er', 3, ['u5', 'u6'])) v(message_id, spelling, messages, authors)""")
 def collaborative_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat(spark).withColumn("packed_norm", normalize(context.packed(scores.strip_markdown(F.col("content")))))
-    found = context.collaborative(rows, banned_rows())
+    configs = values(spark, [("s", (BANNED,))], "id string, config struct<banned_words: array<string>>")
+    found = context.collaborative(rows, detect.patterns_table(spark, configs))
     return found.select("message_id", "spelling", F.size("involved_messages").alias("messages"), F.col("involved_authors").alias("authors"))
 
 
-@query("SELECT conv_id * 1000 + turn AS message_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS depth FROM conversations")
+@query("SELECT conv_id * 1048576 + turn AS message_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS depth FROM conversations")
 def reply_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.reply_depth(conversations(spark, sf_dir))
 
 
 @query(f"""
 SELECT message_id, {r6(f"greatest(0, {Q.heat('content')} + (depth - 1) * 0.1::DOUBLE)")} AS heat
-FROM (SELECT conv_id * 1000 + turn AS message_id, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM conversations)""")
+FROM (SELECT conv_id * 1048576 + turn AS message_id, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth FROM conversations)""")
 def event_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = conversations(spark, sf_dir)
     rows = messages.join(context.reply_depth(messages), "message_id")
@@ -379,7 +380,7 @@ def event_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id * 1000 + turn AS message_id, count(*) OVER w AS history, coalesce(sum(length(text)) OVER w, 0)::BIGINT AS history_chars
+SELECT conv_id * 1048576 + turn AS message_id, count(*) OVER w AS history, coalesce(sum(length(text)) OVER w, 0)::BIGINT AS history_chars
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)""")
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = context.with_history(conversations(spark, sf_dir))
@@ -436,14 +437,13 @@ def sustained_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT event_type, epoch(ts)::BIGINT AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE value > 400),
+WITH RECURSIVE e AS (SELECT event_type, epoch(ts)::BIGINT AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT event_type, n, s, s AS last, 1::BIGINT AS kept FROM e WHERE n = 1
   UNION ALL SELECT e.event_type, e.n, e.s, CASE WHEN e.s - r.last >= 86400 THEN e.s ELSE r.last END, r.kept + CASE WHEN e.s - r.last >= 86400 THEN 1 ELSE 0 END FROM r JOIN e ON e.event_type = r.event_type AND e.n = r.n + 1)
 SELECT event_type AS channel_id, max(kept)::INT AS kept FROM r GROUP BY 1""")
 def cooldown_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value > 400")
-    times = e.groupBy(F.col("event_type").alias("channel_id")).agg(F.array_sort(F.collect_list(F.unix_seconds(F.col("ts").cast("timestamp")))).alias("t"))
-    return times.select("channel_id", F.size(folds.thinned(F.col("t"), 86400)).alias("kept"))
+    kept = folds.thinned(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], 86400)
+    return kept.groupBy(F.col("event_type").alias("channel_id")).agg(F.count("*").cast("int").alias("kept"))
 
 
 MEMBERS = f"""
@@ -626,7 +626,7 @@ def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("channel_id").cast("bigint").alias("conv_id"), F.col("message_id").alias("line_no"), "ts", scores.archive_line(F.col("ts"), F.col("author_id"), F.col("content")).alias("line"))
 
 
-@query(f"SELECT conv_id * 1000 + turn AS line_no, md5(message) AS message FROM ({REPLAY})")
+@query(f"SELECT conv_id * 1048576 + turn AS line_no, md5(message) AS message FROM ({REPLAY})")
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.replayed(archive_rows(spark, sf_dir)).select("line_no", F.md5("message").alias("message"))
 

@@ -1,6 +1,8 @@
 import json
 
+from murmura import schemas
 from murmura.__main__ import main
+from tests.test_moderate import CHAT, OFF
 
 
 def test_keyspace(capsys):
@@ -32,3 +34,24 @@ def test_relations_and_monitor(spark, tmp_path, capsys):
     main(["monitor", str(tmp_path / "s.json"), "1"])
     out = capsys.readouterr().out
     assert out.index("|B ") < out.index("|A ") and "general" in out
+
+
+def test_messages_modes(spark, tmp_path, capsys):
+    src = str(tmp_path / "in")
+    spark.createDataFrame(CHAT, schemas.MESSAGES).write.parquet(src)
+    (tmp_path / "conf").mkdir()
+    config = {**OFF, "delete_filtered_messages": True, "timeout_for_filtered_messages": True, "warning_channel_id": "wa", "alert_channel_id": "al", "timeout_base_seconds": 30, "banned_words": ["grabbit"]}
+    (tmp_path / "conf/s.json").write_text(json.dumps({"name": "one", "id": "s", "config": config}))
+    main(["archive", src, str(tmp_path / "a")])
+    assert spark.read.text(str(tmp_path / "a")).count() == len(CHAT)
+    main(["benchmark", src, "grabbit"])
+    out = capsys.readouterr().out
+    assert "live: 16 messages" in out and "multipass: 16 messages" in out
+    main(["moderate", src, str(tmp_path / "conf"), str(tmp_path / "out"), "--debug"])
+    actions = spark.read.parquet(str(tmp_path / "out/actions"))
+    assert spark.read.parquet(str(tmp_path / "out/breakdown")).count() == len(CHAT) and actions.count() > 5
+    main(["moderate", src, str(tmp_path / "conf"), str(tmp_path / "diet"), "--diet"])
+    assert not (tmp_path / "diet/collaborations").exists()
+    main(["live", src, str(tmp_path / "conf"), str(tmp_path / "live"), str(tmp_path / "cp"), "--once"])
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "live/actions")).select(*actions.columns).collect())) == sorted(map(tuple, actions.collect()))
+    assert spark.read.json(str(tmp_path / "live/members")).count() == 3

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from murmura import schemas as S
 from murmura.plans.moderate import heat_breakdown, moderate
@@ -102,3 +103,39 @@ def test_breakdown_adds_up(spark):
     r = rows[0]
     assert r.heat == pytest.approx(r.keywords + r.caps + r.length + r.punctuation + r.debate)
     assert rows[1].heat == 0.0
+
+
+def test_live_plan_equals_the_batch(spark, tmp_path):
+    from murmura.streaming import live
+    from murmura.streaming.heat import member_stats_stream
+
+    configs = spark.createDataFrame([config(["grabbit"])], S.SERVER_CONFIG)
+    want = moderate(spark.createDataFrame(CHAT, S.MESSAGES), spark.createDataFrame([], S.REACTIONS), configs, {}, {})
+    rows = sorted(CHAT, key=lambda m: m[5])
+    for i in range(0, len(rows), 5):
+        spark.createDataFrame(rows[i : i + 5], S.MESSAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        (tmp_path / "in" / "_SUCCESS").unlink()
+    messages = spark.readStream.schema(S.MESSAGES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    heat = messages.withColumn("heat", F.length("content") / 10.0)
+    queries = [
+        live.start_actions(live.judged_stream(messages, configs), str(tmp_path / "out"), str(tmp_path / "c1")),
+        live.start_monitor(member_stats_stream(heat), "author_id", "average_heat", seen.append, str(tmp_path / "c2"), seconds=1),
+    ]
+    live.stop(*queries)
+    columns = ["author_id", "message_id", "action", "seconds"]
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/actions")).select(*columns).collect()) == sorted(tuple(r) for r in want["actions"].select(*columns).collect())
+    assert spark.read.parquet(str(tmp_path / "out/warnings")).count() == want["warnings"].count()
+    ranks = [r[0] for r in seen[-1]]
+    assert ranks == sorted(ranks) and {r[1] for r in seen[-1]} == {"ann", "bob", "bot", "cat", "hook"}
+
+
+def test_affection_on_a_stream(spark, tmp_path):
+    from murmura.streaming.live import affection_stream
+
+    spark.createDataFrame(LIKES, S.REACTIONS).write.parquet(str(tmp_path / "in"))
+    stream = affection_stream(spark.readStream.schema(S.REACTIONS).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("likes").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.src_id, r.dst_id): round(r.affection, 6) for r in spark.table("likes").collect()} == {("ann", "bob"): 0.12, ("new", "bob"): 0.12}

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,8 +98,14 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_thinning(spark):
-    df = spark.createDataFrame([([0, 10, 59, 60, 100, 121],), ([],)], "t array<bigint>")
-    assert [r[0] for r in df.select(folds.thinned(F.col("t"), 60)).collect()] == [[0, 60, 121], []]
+    times = {"a": [0, 10, 59, 60, 100, 121], "b": [5], None: [7, 8, 90]}
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), t, "x") for k, ts in times.items() for t in ts] + [("a", None, -1, "x")]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, t int, _state string")
+    got = {}
+    for r in folds.thinned(df, ["k"], ["ts"], 60).orderBy("t").collect():
+        got.setdefault(r.k, []).append(r.t)
+    assert got == {"a": [0, 60, 121], "b": [5], None: [7, 90]}
+    assert folds.thinned(df.where("false"), ["k"], ["ts"], 60).count() == 0
 
 
 def test_first_offence_is_never_timed_out(spark):
@@ -133,6 +140,16 @@ def test_quartiles_take_the_lower_rank(spark):
     assert (got["one"].q1, got["one"].deviation) == (5.0, 0.0)
 
 
+def test_order_statistics_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    data = {k: rng.integers(0, 4, n) / 2 for k, n in (("a", 1), ("b", 2), ("c", 7), ("d", 400))}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None)], "k string, v double")
+    got = {r.k: r for r in archive.order_statistics(df, "v", ["k"]).collect()}
+    for k, vs in data.items():
+        low = np.sort(vs)
+        assert (got[k].n, got[k].median, got[k].q1, got[k].q3) == (len(vs), np.median(vs), low[int(0.25 * (len(vs) - 1))], low[int(0.75 * (len(vs) - 1))])
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5])
 def test_graph_renders_any_length(n):
     text = archive.line_graph([float(i) for i in range(n)])
