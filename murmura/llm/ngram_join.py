@@ -16,7 +16,9 @@ copies grows with its size, not with its pairs, and no link between different
 components is missed.
 
 Sets hold 64-bit hashes; two different tokens of a compared pair share one with
-a probability below 1e-12.
+a probability below 1e-12.  Lists are named by 64-bit hashes as well; that two of
+a billion share one has a probability below 0.03, and even then a pair is lost
+only if it has no other list.
 """
 
 from __future__ import annotations
@@ -264,36 +266,36 @@ class Join:
         firsts = self.signed.where("n > 0 and doc_id is not null").join(small, (F.col("doc_id") == F.col("_id")) & (F.col("d0") == F.col("_d0")), "left_anti").withColumnRenamed("doc_id", "rep")
         if narrow.groupBy("doc_id").count().where("count > 1").limit(1).count():
             firsts = firsts.dropDuplicates(["rep", "d0", "d1", "n"])
-        postings = self.postings(firsts)
-        late = bounded_counts(postings.where(F.col("n") > COMMON).select("token", "n"), ORDERED)
+        counts = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        late = bounded_counts(materialize(counts.where(F.col("n") > COMMON), "join-late"), ORDERED)
         if len(late[0]):
             firsts = self.reordered(firsts, late[0], merged_counts(frequent, late))
-            postings = self.postings(firsts)
         self.light = firsts.select("rep", "n", "b0", "b1", "b2", "b3")
         self.bits = firsts.select("rep", "n", "bits")
-        self.entries = self.indexed(firsts, postings)
+        self.entries = self.indexed(firsts, self.postings(firsts))
 
     @staticmethod
     def postings(firsts: DataFrame) -> DataFrame:
         """token, n (classes with it in their prefixes) and list (a hash of those classes) of shared tokens."""
-        entries = firsts.select("rep", F.explode("prefix").alias("token"))
-        who = [F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(1)), 24)).alias("_s"), F.bit_xor(F.xxhash64("rep", F.lit(2))).alias("_x")]
-        shared = entries.groupBy("token").agg(F.count("*").alias("n"), *who).where("n > 1")
+        entries = firsts.select(F.xxhash64("rep").alias("_who"), F.explode("prefix").alias("token"))
+        shared = entries.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("_who").alias("_who")).where("n > 1")
         # written, so that both sides of the join with entries are dealt anew and hot tokens can be split
-        return materialize(shared.select("token", "n", F.xxhash64("n", "_s", "_x").alias("list")), "join-postings")
+        return materialize(shared.select("token", "n", F.xxhash64("n", "_who").alias("list")), "join-postings")
 
     def indexed(self, firsts: DataFrame, postings: DataFrame) -> DataFrame:
-        """Entries ``(rep, list, least, room, place, m)`` of classes that may have a partner.
+        """Entries ``(rep, list, n, m, place, least, room, middle)`` of classes that may have a partner.
 
-        ``least`` is what a class must share with any partner, ``room`` how many
-        of its tokens lie behind its prefix.  What it shares is no more than
-        these and its lists' tokens.
+        ``n`` classes have the list; ``least`` is what a class must share with
+        any partner, ``room`` how many of its tokens lie behind its prefix.  What
+        it shares is no more than these and its lists' tokens.  ``middle`` is the
+        share of its prefix that others have as well.
         """
         size, head = F.col("n"), F.size("prefix")
         least = F.ceil(size * self.rule.num / F.lit(float(self.rule.den)) - F.lit(1e-6)).cast("long")
-        tokens = firsts.select("rep", least.alias("least"), (size - head).cast("long").alias("room"), F.posexplode("prefix").alias("place", "token"))
-        lists = tokens.join(postings.select("token", "list"), "token").groupBy("rep", "least", "room", "list").agg(F.min("place").alias("place"), F.count("*").alias("m"))
-        return materialize(able(materialize(lists, "join-lists")), "join-entries")
+        tokens = firsts.select("rep", least.alias("least"), (size - head).cast("long").alias("room"), head.alias("_head"), F.posexplode("prefix").alias("place", "token"))
+        both = tokens.join(postings, "token").select("rep", "list", "n", "place", "least", "room", "_head").repartition("rep")
+        lists = both.groupBy("rep", "list").agg(F.count("*").alias("m"), F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "least", "room", "_head")])
+        return materialize(able(lists.withColumn("middle", F.sum("m").over(Window.partitionBy("rep")) / F.col("_head")).drop("_head")), "join-entries")
 
     def reordered(self, firsts: DataFrame, late: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """Signatures in the order of ``frequent``, which has the tokens ``late`` anew.
@@ -308,7 +310,7 @@ class Join:
         again = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small, F.col("doc_id") == F.col("_id"), "left_semi")
         signed = signatures(again, self.rule, frequent).where("n > 0").withColumnRenamed("doc_id", "rep")
         kept = firsts.join(small, F.col("rep") == F.col("_id"), "left_anti")
-        return materialize(kept.unionByName(signed.select(*kept.columns)), "join-signatures")
+        return kept.unionByName(materialize(signed.select(*kept.columns), "join-again"))
 
     def pivots(self, entries: DataFrame, turn: int) -> DataFrame:
         """One candidate ``(a, b)`` for each class: of its lists' pivots, the one nearest by parity bits.
@@ -318,14 +320,11 @@ class Join:
         is drawn for each frequent list.  A class and its pivot are of different
         components.
         """
-        mine = Window.partitionBy("rep")
-        middle = F.sum("m").over(mine) / (F.max("least").over(mine) * (1 / self.rule.num * self.rule.den - 1) + K)
-        rows = materialize(entries.withColumn("_middle", middle).join(entries.groupBy("list").agg(F.count("*").alias("_n")), "list"), "join-turn")
-        seed = F.when(F.col("_n") > SMALL, F.col("list")).otherwise(F.lit(0))
+        seed = F.when(F.col("n") > SMALL, F.col("list")).otherwise(F.lit(0))
         noise = F.pmod(F.xxhash64("rep", seed, F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        order = F.struct((noise * (0.001 + 0.15 * turn) - F.col("_middle")).alias("h"), F.col("rep").alias("pivot"), F.col("comp").alias("_theirs"))
-        first = materialize(rows.groupBy("list").agg(F.min(order).alias("_first")).select("list", "_first.pivot", "_first._theirs"), "join-first")
-        votes = rows.join(first, "list").where("comp != _theirs").select(F.col("rep").alias("_rep"), "pivot").distinct()
+        order = F.struct((noise * (0.001 + 0.15 * turn) - F.col("middle")).alias("h"), F.col("rep").alias("pivot"), F.col("comp").alias("_theirs"))
+        first = materialize(entries.groupBy("list").agg(F.min(order).alias("_first")).select("list", "_first.pivot", "_first._theirs"), "join-first")
+        votes = entries.join(first, "list").where("comp != _theirs").select(F.col("rep").alias("_rep"), "pivot").distinct()
         x, y = self.light.alias("x"), self.light.alias("y")
         near = votes.join(x, F.col("_rep") == F.col("x.rep")).join(y, F.col("pivot") == F.col("y.rep")).where(close(self.rule, "x", "y"))
         near = self.pruned(near.select(F.col("x.rep").alias("a"), F.col("pivot").alias("b")))
@@ -339,23 +338,28 @@ class Join:
         measured = pairs.join(x, "a").join(y, "b").withColumn("_d", differing_bits("_bits1", "_bits2"))
         return measured.where(F.col("_d") <= far_apart(self.rule, total)).select("a", "b", (F.col("_d") / total).alias("apart"))
 
-    def mixed(self, label: DataFrame | None) -> DataFrame:
+    def mixed(self, label: DataFrame | None, entries: DataFrame | None = None) -> DataFrame:
         """Entries with ``comp`` whose lists hold several components, of classes that may link to another one."""
+        entries = self.entries if entries is None else entries.drop("comp")
         if label is None:
-            return self.entries.withColumn("comp", F.col("rep"))
-        named = self.entries.join(label.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
-        for name in ("join-named", "join-able"):  # what the first pass takes away leaves further lists with one component
-            named = materialize(named, name)
-            several = named.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("list")
-            named = able(named.join(materialize(several, "join-several"), "list"))
-        return materialize(named, "join-mixed")
-
-    def work(self, entries: DataFrame) -> tuple[int, int]:
-        """Pairs of entries of one list and different components, and the number of entries."""
-        sizes = materialize(entries.groupBy("list", "comp").agg(F.count("*").alias("n")), "join-sizes")
-        lists = sizes.groupBy("list").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        pairs, n = lists.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-        return int(pairs or 0), n or 0
+            return entries.withColumn("comp", F.col("rep"))
+        small, _ = bounded_broadcast(label.select(F.col("v").alias("rep"), "c"), BROADCAST_IDS)
+        named = entries.join(small, "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
+        several = named.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("list")
+        return materialize(able(named.join(materialize(several, "join-several"), "list", "left_semi")), "join-mixed")
+
+    def heavy(self, entries: DataFrame) -> DataFrame | None:
+        """Entries of the lists with more than ``PAIRS`` pairs of different components for each entry.
+
+        None if the pairs of all lists are no more than that.
+        """
+        sizes = entries.groupBy("list", "comp").agg(F.count("*").alias("n"))
+        lists = sizes.groupBy("list").agg(F.sum("n").alias("_size"), F.sum(F.col("n") * F.col("n")).alias("_own"))
+        lists = materialize(lists.withColumn("_pairs", (F.col("_size") * F.col("_size") - F.col("_own")) / 2), "join-work")
+        pairs, n = lists.agg(F.sum("_pairs"), F.sum("_size")).first()
+        if (pairs or 0) <= PAIRS * (n or 0):
+            return None
+        return materialize(entries.join(lists.where(F.col("_pairs") > PAIRS * F.col("_size")).select("list"), "list", "left_semi"), "join-heavy")
 
     def candidates(self, entries: DataFrame) -> DataFrame:
         """All pairs ``(a, b)`` of classes of different components that may be similar.
@@ -365,9 +369,8 @@ class Join:
         this list's and by those of lists that come later.
         """
         rule = self.rule
-        counts = materialize(entries.groupBy("list").agg(F.count("*").alias("_n")), "join-counts")
         # a list of several tokens is a combination of them
-        rows = entries.join(counts, "list").withColumn("_one", (F.col("_n") <= self.rare) | (F.col("m") >= K))
+        rows = entries.withColumn("_one", (F.col("n") <= self.rare) | (F.col("m") >= K)).drop("n")
         kind = Window.partitionBy("rep", "_one").orderBy("place")
         gone = F.coalesce(F.sum("m").over(kind.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         bound = F.col("room") + F.sum("m").over(Window.partitionBy("rep")) - gone
@@ -404,21 +407,23 @@ class Join:
     def labels(self) -> DataFrame | None:
         """``(v, c)``: component of every linked class; None if there are no links.
 
-        Links to pivots come first.  They are repeated until a round finds few or
-        the pairs that are left are few for the entries; all of those are tried.
+        Links to pivots come first, of all lists and then of those with many
+        pairs left.  They end once a round finds few or the pairs that are left are
+        few for the entries; all of those are tried.
         """
         label, rest, total = None, self.mixed(None), 0
+        part = rest
         for turn in range(ROUNDS):
-            links = materialize(verify(materialize(self.pivots(rest, turn), "join-pivots"), self.docs, self.rule).select("a", "b"), "join-links")
+            links = materialize(verify(materialize(self.pivots(part, turn), "join-pivots"), self.docs, self.rule).select("a", "b"), "join-links")
             n = links.count()
             total += n
             if n:
                 label = self.merged(label, links)
-                rest = self.mixed(label)
+                rest = self.mixed(label, rest)
             if n <= FEW * total:
                 break
-            left, entries = self.work(rest)
-            if left <= PAIRS * entries:
+            part = self.heavy(rest)
+            if part is None:
                 break
         pairs = materialize(self.candidates(rest), "join-candidates")
         if pairs.limit(1).count():
