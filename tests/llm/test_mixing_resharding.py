@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmura.llm import mixing, resharding
+from tests.conftest import DATA
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, rate int, _doc string"
 
@@ -131,16 +132,37 @@ def test_min_cost_flow_cost_is_the_lower_bound(supply, capacity):
 
 
 def test_rewrite_touches_only_affected_shards(spark, tmp_path):
-    df = spark.createDataFrame([(i, f"text {i}" * (i % 5 + 1), "en", "a", 1, "") for i in range(400)], SCHEMA).drop("_doc")
+    same = [(1, "the same again", "en", "a", 1, "")] * 300
+    odd = [(None, None, None, None, None, None), (None, "a b", "en", "a", 1, "x"), (None, "a b", "en", "a", 1, "x"), (7, "", "en", "a", 1, "y")]
+    rows = [(i, f"text {i}" * (i % 5 + 1), "en", "a", 1, "") for i in range(400)] + same + odd
+    df = spark.createDataFrame(rows, SCHEMA.replace("rate", "slot").replace("lang", "_id"))
     path = str(tmp_path / "shards")
-    start = df.withColumn("shard", F.pmod("doc_id", F.lit(3)).cast("int"))
-    start.write.partitionBy("shard").parquet(path)
+    df.withColumn("shard", F.pmod(F.coalesce("doc_id", F.lit(5)), F.lit(3)).cast("int")).write.partitionBy("shard").parquet(path)
     before = {p: {f.name for f in p.iterdir()} for p in (tmp_path / "shards").iterdir() if p.is_dir()}
+    start = spark.read.parquet(path)
     placed = resharding.reshard(start, old_shards=3, new_shards=4, old=F.col("shard"))
-    changed = resharding.rewrite(spark.read.parquet(path), placed, path)
+    sizes = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    changed = resharding.rewrite(start, path, 3, 4)
     back = spark.read.parquet(path)
-    want = {r.doc_id: r["shard"] for r in placed.collect()}
-    assert {r.doc_id: r["shard"] for r in back.collect()} == want and back.count() == 400
+    assert back.columns == start.columns
+    assert sorted(map(str, back.drop("shard").collect())) == sorted(map(str, df.select(*[c for c in start.columns if c != "shard"]).collect()))
+    # rows that share everything lie in several shards as well
+    assert len(sizes) == 4 and max(sizes.values()) < 1.1 * min(sizes.values())
+    got = {r["shard"]: r["n"] for r in back.groupBy("shard").agg(F.sum(resharding.row_size(F.col("text"))).alias("n")).collect()}
+    assert got == sizes
     for p, names in before.items():
         if int(p.name.split("=")[1]) not in changed:
             assert {f.name for f in p.iterdir()} == names
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame(rows(), SCHEMA.replace("rate", "size").replace("lang", "_try"))
+    assert mixing.emit(df).columns == df.columns and mixing.mix(df).count() == len(rows())
+    extra = spark.createDataFrame(rows(), SCHEMA.replace("rate", "shard").replace("lang", "_h"))
+    assert resharding.reshard(extra).count() == len(rows())
+
+
+def test_sources_come_near_their_targets(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    got = mixing.mix(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert max(abs(r.taken / r.target - 1) for r in got) < 0.04

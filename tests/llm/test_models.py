@@ -85,9 +85,59 @@ def test_importance_odd_rows(spark):
     assert importance.keep(empty, none).count() == 0
 
 
+def test_gumbel_draws_follow_the_weights(spark):
+    want = np.array([1, 2, 5, 0.5]) / 8.5
+    df = spark.range(3000).select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(np.log(w))).alias("_weight")) for j, w in enumerate(want)])).alias("r"), "id")
+    df = df.select(F.concat_ws(":", "id", "r.j").alias("doc_id"), "id", "r.j", "r._weight", F.lit(1).alias("_grams"))
+    seen = []
+    for seed in (1, 2):
+        keyed = importance.Resampler(np.zeros(1), seed=seed).keyed(df)
+        first = keyed.groupBy("id").agg(F.max_by("j", "_key").alias("j"))
+        seen.append({r.id: r.j for r in first.collect()})
+        share = np.bincount(list(seen[-1].values()), minlength=4) / 3000
+        assert np.abs(share - want).max() < 0.03
+    assert 0.3 < np.mean([seen[0][i] != seen[1][i] for i in range(3000)])
+    cold = importance.Resampler(np.zeros(1), temperature=0.01).keyed(df).groupBy("id").agg(F.max_by("j", "_key").alias("j"))
+    assert cold.where("j != 2").count() == 0
+
+
 # --- language ID
 
 
+def test_leader_against_a_scalar_version():
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for _ in range(60)]
+    y = rng.integers(0, 3, 60)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n = {}, {}
+
+    def weight(i, k):
+        v = z.get((i, k), 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((beta + np.sqrt(n.get((i, k), 0.0))) / alpha + l2)
+
+    for _ in range(2):
+        for (at, value), label in zip(rows, y, strict=True):
+            x = [*zip(at, value, strict=True), (langid.BUCKETS, 1.0)]
+            logit = [sum(v * weight(i, k) for i, v in x) for k in range(3)]
+            p = [np.exp(t) / sum(np.exp(u) for u in logit) for t in logit]
+            now = {(i, k): weight(i, k) for i, _ in x for k in range(3)}
+            for i, v in x:
+                for k in range(3):
+                    g = v * (p[k] - (k == label))
+                    sigma = (np.sqrt(n.get((i, k), 0.0) + g * g) - np.sqrt(n.get((i, k), 0.0))) / alpha
+                    z[i, k] = z.get((i, k), 0.0) + g - sigma * now[i, k]
+                    n[i, k] = n.get((i, k), 0.0) + g * g
+    w, b = langid.follow_the_leader(rows, y, 3)
+    assert np.allclose([[weight(i, k) for k in range(3)] for i in range(12)], w[:12]) and np.allclose([weight(langid.BUCKETS, k) for k in range(3)], b)
+
+
+def test_known_languages_keep_columns_of_any_name(spark, tables):
+    docs, _ = tables
+    named = docs.select("*", F.lit(1).alias("_score"), F.lit("x").alias("_lang_pred"), F.lit(2).alias("_text"), F.lit(3).alias("_c0"))
+    out = langid.keep_known(named)
+    assert out.columns == named.columns and sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in langid.keep_known(docs).collect())
+
+
 def test_language_accuracy_on_held_out_rows(spark, tables):
     docs, _ = tables
     got = langid.predict(docs).join(docs.select(F.col("doc_id").alias("i"), "lang"), F.col("doc_id") == F.col("i")).where("held_out").collect()

@@ -132,6 +132,50 @@ def test_components(spark):
     assert got == {**{i: 20 for i in range(20, 61)}, 1: 1, 2: 1, 3: 1, 9: 1, 100: 100, 101: 100}
 
 
+def near_copies(n, seed):
+    """One group of n near copies, some too far from the middle, and n texts that share a passage."""
+    rng = np.random.default_rng(seed)
+    base, passage = [f"b{i}" for i in range(160)], [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.choice(160, rng.integers(0, 9), replace=False):
+            w[at] = f"x{rng.integers(10**9)}"
+        rows.append((2 * i, " ".join(w)))
+        own = [f"o{rng.integers(10**9)}" for _ in range(60)]
+        rows.append((2 * i + 1, " ".join(own + passage)))
+    return rows
+
+
+def test_pairs_grow_with_the_group_not_its_square(spark, monkeypatch):
+    written, made = ngram_join.materialize, {}
+
+    def counted(df, name):
+        out = written(df, name)
+        if name in ("join-pivots", "join-candidates"):
+            made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    seen = []
+    for n in (60, 300):
+        made.clear()
+        rows = near_copies(n, 5)
+        df = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in rows], SCHEMA)
+        got = {r.doc_id: r.component_id for r in ngram_join.cluster(df).collect()}
+        want, _ = brute(rows, ngram_join.Rule())
+        assert got == {i: c for i, (_, c) in want.items()}
+        seen.append(sum(made.values()))
+    assert seen[1] <= 8 * seen[0]
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e", 1, "x", 2), (2, "a b c d e", 1, "x", 2), (3, None, 1, "x", 2), (1, "a b c d e", 1, "x", 2), (None, "a b c d e", 1, "x", 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _id int, _doc string, component_id int")
+    kept = ngram_join.representatives(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+
+
 # --- vantage-point trees
 
 
@@ -190,3 +234,18 @@ def test_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(60)], "vec_id bigint, embedding array<float>").select("*", F.lit(1).alias("rank"))
     got = [r.vec_id for r in vantage.nearest(df, factor=1.0, shard_rows=7).where("query_id = 0").orderBy("rank").collect()]
     assert got == [2, 4, 6, 8, 10]
+
+
+def test_many_equal_vectors_over_several_shards_and_blocks(spark):
+    rng = np.random.default_rng(6)
+    same = rng.normal(size=16)
+    rows = [(3 * i + 1, [float(x) for x in (same if i < 100 else rng.normal(size=16))]) for i in range(400)] + [(50 * i, [float(x) for x in same]) for i in range(12)]
+    df = spark.createDataFrame(sorted({r[0]: r for r in rows}.values()), "vec_id bigint, embedding array<double>")
+    ids = sorted(i for i, v in {r[0]: r[1] for r in rows}.items() if v == [float(x) for x in same])
+    got = defaultdict(list)
+    for r in vantage.nearest(df, shard_rows=32, query_rows=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(got) >= 12
+    for q in (50 * i for i in range(12)):
+        if q in ids:
+            assert got[q] == [i for i in ids if i != q][:5]

@@ -1,6 +1,7 @@
 """The pipeline's stages against what each must do, and the registered queries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from murmura.llm import byte_bpe, importance, langid, mixing, ngram_join
@@ -59,6 +60,23 @@ def test_stages_take_empty_tables(spark):
         assert docs.count() == 0
 
 
+def test_stages_take_odd_rows_and_any_columns(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns with the operators' inner names."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = [(None, None, None, None, None), (None, "some words here", "en", None, 3), (900_001, "", "en", "s", 0), (900_002, "long text goes on " * 20_000, "en", "s", 1), (900_003, "\n\t ", None, "s", 1), (900_004, "twice the same", "en", "s", 1), (900_004, "twice the same", "en", "s", 1), (900_004, "other text", "en", "s", 1)]
+    inner = {c: F.lit(1) for c in ("_id", "_doc", "_score", "_lang_pred", "_key", "_weight", "_grams", "_c0", "_try", "_bar", "rate", "copies", "n_tokens", "component_id", "_text")}
+    docs = plain.union(spark.createDataFrame(odd, plain.schema)).withColumns(inner)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        rows = out.count()
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns and 0 < rows
+            before = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+            assert {(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()} <= before
+        else:
+            assert rows == docs.count()
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
 

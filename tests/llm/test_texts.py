@@ -1,6 +1,7 @@
 """BPE and licences: round trips, brute force and odd rows."""
 
 import hashlib
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -111,3 +112,17 @@ def test_every_notice_is_found_as_a_line(spark):
     assert [g[1:] for g in got] == [([i], 1) for i, _ in notices]
     df = spark.createDataFrame([(1, "first\nmy OWN terms!\nlast")], "doc_id int, text string")
     assert licenses.scan(df, [("own", "My own terms")]).first().line_licenses == ["own"]
+
+
+def test_whole_official_texts(spark):
+    shelf = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3-only"}
+    there = [(spdx, (shelf / f).read_text("utf-8")) for f, spdx in names.items() if (shelf / f).exists()]
+    if not there:
+        pytest.skip("no licence texts on this machine")
+    assert [g[0] for g in scan(spark, *[t.replace("\n", "\n ") for _, t in there])] == [spdx for spdx, _ in there]
+
+
+def test_too_many_known_texts(spark):
+    with pytest.raises(ValueError):
+        licenses.known_digests(spark, [("x", str(i)) for i in range(licenses.MOST_KNOWN + 1)])
