@@ -1,7 +1,9 @@
 """The training-data pipeline: filter, deduplicate, mix and encode documents.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``.  Any column may be
+null, texts may be empty or very long, rows may be repeated, extra columns may
+have any name and pass through, and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,27 +21,44 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling towards good labelled text keeps."""
+    """Documents that importance resampling towards good labelled text keeps.
+
+    Null and empty texts, and those without a token, go.  Rows of one id share a
+    draw; ties at the cut go to the larger id as text.
+    """
     return importance.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier knows."""
+    """Documents whose language the classifier knows.
+
+    Null texts and those without a letter go.  A null language teaches nothing;
+    without any language nothing is known and all go.
+    """
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates.
+
+    Texts without a word are alike with nothing and stay, as do rows with a null
+    id.  Of rows equal in id and text one stays; rows of one id with different
+    texts stay if the id does.
+    """
     return ngram_join.representatives(docs, NEAR)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources meet their target weights."""
+    """Documents repeated or left out so that sources meet their target weights.
+
+    A null source is a source of its own, null text counts no words, rows of one
+    id are taken equally often.
+    """
     return mixing.emit(docs)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
+    """Token counts and digests of the encoded and decoded texts, one row for each document; null text is empty."""
     import public_tokenizers
 
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
