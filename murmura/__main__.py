@@ -38,6 +38,7 @@ def arguments() -> argparse.ArgumentParser:
     sub.choices["moderate"].add_argument("--reactions")
     sub.choices["moderate"].add_argument("--diet", action="store_true", help="each message by itself")
     sub.choices["moderate"].add_argument("--debug", action="store_true", help="every part of each message's heat as well")
+    sub.choices["benchmark"].add_argument("--token", help="only people's messages that hold this text")
     sub.choices["live"].add_argument("--once", action="store_true", help="end when all that has arrived is done")
     return parser
 
@@ -96,7 +97,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.mode == "archive":
         files.write_archive(spark.read.schema(schemas.MESSAGES).parquet(args.messages), args.out)
     elif args.mode == "benchmark":
-        benchmark(spark.read.schema(schemas.MESSAGES).parquet(args.messages), args.word)
+        messages = spark.read.schema(schemas.MESSAGES).parquet(args.messages)
+        benchmark(messages.where(~F.col("is_bot") & F.col("content").contains(args.token)) if args.token else messages, args.word)
     elif args.mode == "live":
         live(spark, args)
     elif args.mode == "moderate":

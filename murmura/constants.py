@@ -49,3 +49,5 @@ ALNUM = r"[\p{L}\p{Nd}]"
 
 # Addresses of image attachments.
 IMAGE_URL = r"\Ahttps://(cdn|media)\.discordapp\.(com|net)/attachments/.*\.(jpg|jpeg|png|gif|bmp|webp|tiff)(\?.*)?\z"
+# Fixed value: what the name of a member that isn't known begins with.
+UNKNOWN_MEMBER = "Unknown_User_"

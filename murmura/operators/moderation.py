@@ -24,6 +24,10 @@ def isolated(text: str, word: str) -> Column:
     return F.expr(rf"{text} rlike concat('(?i)\\b\\Q', {word}, '\\E\\b')")
 
 
+# Fixed value: how a reason begins.
+REASON = "Used or attempted to use banned word: "
+
+
 def violations(hits: DataFrame) -> DataFrame:
     """Adds seconds, timed_out, reason, deleted and punished to detections.
 
@@ -36,7 +40,7 @@ def violations(hits: DataFrame) -> DataFrame:
     return (
         hits.withColumn("seconds", seconds)
         .withColumn("timed_out", F.col("timeout_for_filtered_messages") & (F.col("seconds") > 0))
-        .withColumn("reason", F.concat(F.lit("Used or attempted to use banned word: "), F.col("word")))
+        .withColumn("reason", F.concat(F.lit(REASON), F.col("word")))
         .withColumn("deleted", F.col("delete_filtered_messages"))
         .withColumn("punished", isolated("shown", "spelling"))
     )

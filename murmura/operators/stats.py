@@ -109,7 +109,7 @@ def classified_relations(relations: DataFrame, members: DataFrame) -> DataFrame:
 def named_targets(relations: DataFrame, members: DataFrame) -> DataFrame:
     """Target names for target ids; unknown ids get a placeholder name."""
     names = members.select(F.col("member_id").alias("dst_id"), "member_name")
-    name = F.coalesce("member_name", F.concat(F.lit("Unknown_User_"), F.col("dst_id")))
+    name = F.coalesce("member_name", F.concat(F.lit(C.UNKNOWN_MEMBER), F.col("dst_id")))
     return relations.join(names, "dst_id", "left").withColumn("target_name", name).drop("member_name", "dst_id")
 
 

@@ -290,6 +290,13 @@ def multipass_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.multipass(rows, "text", "trash").select("id", "found")
 
 
+@query()
+def multipass_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in which a pass or a decoding finds the word; no SQL, brute force in the tests."""
+    found = detect.multipass(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "trash")
+    return found.select("doc_id", "found")
+
+
 @query(f"""
 SELECT count(*) AS n, count(*) FILTER (live) AS live, count(*) FILTER (multi) AS multipass, count(*) FILTER (live AND multi) AS both, count(*) FILTER (live <> multi) AS differ
 FROM (SELECT *, id IN (1, 2, 4, 5, 9, 13, 15) AS live FROM {sql_values([(i, f) for i, _, f in HIDDEN], 'id, multi')})""")
@@ -569,10 +576,9 @@ def live_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.live_only(c, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k").select("c_custkey", F.col("k").alias("c_nationkey"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def missing_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return stats.missing(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k").select(F.col("k").alias("c_custkey"))
+    return stats.missing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query(f"""

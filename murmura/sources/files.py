@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmura import constants as C
 from murmura import schemas as S
 from murmura.functions.scores import archive_line, is_image_url
 from murmura.operators.stats import backfilled_count
@@ -82,7 +83,7 @@ def readable_stats(spark: SparkSession, path: str) -> DataFrame:
     rows = both.select("serverId", F.explode(F.coalesce("members", "_listed")).alias("m")).select("serverId", "m.*")
     names = rows.select(F.col("memberId").alias("targetMemberId"), F.col("memberName").alias("_name")).dropDuplicates(["targetMemberId"])
     rel = rows.select("serverId", "memberId", F.explode("relations").alias("r")).select("serverId", "memberId", "r.*").join(names, "targetMemberId", "left")
-    told = rel.groupBy("serverId", "memberId").agg(F.collect_list(F.struct("affection", F.coalesce("_name", F.concat(F.lit("Unknown_User_"), F.col("targetMemberId"))).alias("targetMemberName"))).alias("relations"))
+    told = rel.groupBy("serverId", "memberId").agg(F.collect_list(F.struct("affection", F.coalesce("_name", F.concat(F.lit(C.UNKNOWN_MEMBER), F.col("targetMemberId"))).alias("targetMemberName"))).alias("relations"))
     return rows.drop("relations").join(told, ["serverId", "memberId"], "left")
 
 

@@ -47,6 +47,8 @@ def test_messages_modes(spark, tmp_path, capsys):
     main(["benchmark", src, "grabbit"])
     out = capsys.readouterr().out
     assert "live: 16 messages" in out and "multipass: 16 messages" in out
+    main(["benchmark", src, "grabbit", "--token", "grabbit"])
+    assert "live: 3 messages" in capsys.readouterr().out
     main(["moderate", src, str(tmp_path / "conf"), str(tmp_path / "out"), "--debug"])
     actions = spark.read.parquet(str(tmp_path / "out/actions"))
     assert spark.read.parquet(str(tmp_path / "out/breakdown")).count() == len(CHAT) and actions.count() > 5
