@@ -147,10 +147,10 @@ def letter_rules() -> list[tuple[int, str, str]]:
     return [(ord(c), c, by) for c, by in sorted(rules.items())]
 
 
-@query(f"SELECT code, by FROM {sql_values([(n, by) for n, _, by in letter_rules()], 'code, by')}")
+@query(f"SELECT code, latin FROM {sql_values([(n, by) for n, _, by in letter_rules()], 'code, latin')}")
 def unicode_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, [(n, c) for n, c, _ in letter_rules()], "code int, letter string")
-    return rows.select("code", normalize(F.col("letter")).alias("by"))
+    return rows.select("code", normalize(F.col("letter")).alias("latin"))
 
 
 MARKED = [
