@@ -345,3 +345,21 @@ def test_every_word_has_its_own_probability(spark, tables, monkeypatch, common):
         assert got[str(r.doc_id)].log_likelihood == pytest.approx(want, rel=1e-6)
     rarest = min(seen[w] for w in seen if ids_of(w)[0] < masked_lm.FREQUENT)
     assert got["None"].mean_log_prob < np.log(rarest / sum(seen.values()))
+
+
+def test_probabilities_of_the_language_model_add_up(spark, tables):
+    docs = tables[0].limit(60)
+    counts = masked_lm.count_words(docs)
+    vocabulary, net = masked_lm.fit(docs, counts, 1)
+    told = masked_lm.shares(counts, vocabulary)
+    around = np.random.default_rng(2).integers(0, masked_lm.EDGE + 1, (5, 2 * masked_lm.SIDE))
+    every = np.arange(masked_lm.OUTPUTS)
+    for context in around:
+        assert np.exp(net.log_probs(np.tile(context, (len(every), 1)), every)).sum() == pytest.approx(1, abs=1e-4)
+    rows = counts.toPandas()
+    out = masked_lm.outputs(rows["word"].to_numpy(np.int64).view(np.uint64), vocabulary)
+    n = rows["n"].to_numpy(float)
+    # seen words, and as many unseen ones
+    for k in range(masked_lm.FREQUENT, masked_lm.OUTPUTS):
+        if (out == k).any():
+            assert ((n[out == k].sum() + (out == k).sum()) / told.sizes[k]) == pytest.approx(1)
