@@ -338,24 +338,32 @@ class Join:
         measured = pairs.join(x, "a").join(y, "b").withColumn("_d", differing_bits("_bits1", "_bits2"))
         return measured.where(F.col("_d") <= far_apart(self.rule, total)).select("a", "b", (F.col("_d") / total).alias("apart"))
 
-    def mixed(self, label: DataFrame | None, entries: DataFrame | None = None) -> DataFrame:
-        """Entries with ``comp`` whose lists hold several components, of classes that may link to another one."""
-        entries = self.entries if entries is None else entries.drop("comp")
+    @staticmethod
+    def named(entries: DataFrame, label: DataFrame | None) -> DataFrame:
+        """The entries with each class's component as ``comp``."""
         if label is None:
             return entries.withColumn("comp", F.col("rep"))
         small, _ = bounded_broadcast(label.select(F.col("v").alias("rep"), "c"), BROADCAST_IDS)
-        named = entries.join(small, "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
+        return entries.drop("comp").join(small, "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
+
+    def mixed(self, label: DataFrame | None) -> DataFrame:
+        """Entries with ``comp`` whose lists hold several components, of classes that may link to another one."""
+        named = self.named(self.entries, label)
+        if label is None:
+            return named
         several = named.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("list")
         return materialize(able(named.join(materialize(several, "join-several"), "list", "left_semi")), "join-mixed")
 
     def heavy(self, entries: DataFrame) -> DataFrame | None:
         """Entries of the lists with more than ``PAIRS`` pairs of different components for each entry.
 
-        None if the pairs of all lists are no more than that.
+        None if the pairs of all lists with several components are no more than
+        that.  Links only take pairs away, so a list that is left out once stays
+        out.
         """
         sizes = entries.groupBy("list", "comp").agg(F.count("*").alias("n"))
         lists = sizes.groupBy("list").agg(F.sum("n").alias("_size"), F.sum(F.col("n") * F.col("n")).alias("_own"))
-        lists = materialize(lists.withColumn("_pairs", (F.col("_size") * F.col("_size") - F.col("_own")) / 2), "join-work")
+        lists = materialize(lists.withColumn("_pairs", (F.col("_size") * F.col("_size") - F.col("_own")) / 2).where("_pairs > 0"), "join-work")
         pairs, n = lists.agg(F.sum("_pairs"), F.sum("_size")).first()
         if (pairs or 0) <= PAIRS * (n or 0):
             return None
@@ -411,20 +419,19 @@ class Join:
         pairs left.  They end once a round finds few or the pairs that are left are
         few for the entries; all of those are tried.
         """
-        label, rest, total = None, self.mixed(None), 0
-        part = rest
+        label, part, total = None, self.mixed(None), 0
         for turn in range(ROUNDS):
             links = materialize(verify(materialize(self.pivots(part, turn), "join-pivots"), self.docs, self.rule).select("a", "b"), "join-links")
             n = links.count()
             total += n
             if n:
                 label = self.merged(label, links)
-                rest = self.mixed(label, rest)
             if n <= FEW * total:
                 break
-            part = self.heavy(rest)
+            part = self.heavy(self.named(part, label))
             if part is None:
                 break
+        rest = self.mixed(label)
         pairs = materialize(self.candidates(rest), "join-candidates")
         if pairs.limit(1).count():
             links = materialize(verify(pairs, self.docs, self.rule).select("a", "b"), "join-links")
